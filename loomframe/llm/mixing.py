@@ -78,6 +78,8 @@ def fit_rates(docs: DataFrame, targets: list[float], total: float, rounds: int =
     sum per source and round.
     """
     k = len(targets)
+    if not k:
+        return docs.withColumn("rate", F.lit(0.0))
     offer = [F.sum(F.col("membership")[i] * F.col("n_tokens") * F.col("cap")) for i in range(k)]
     available = [v or 0.0 for v in docs.agg(*offer).first()]
     rate = F.col("cap") * F.lit(0.0)
