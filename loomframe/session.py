@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +36,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, so that a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_database(spark: SparkSession) -> str:
+    """A database whose tables lie in the shared checkpoint folder; dropping a table frees its files."""
+    ensure_checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    name = f"scratch_{uuid.uuid4().hex[:12]}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{base.rstrip('/')}/{name}'")
+    return name
+
+
+def write_bucketed(df: DataFrame, database: str, key: str, buckets: int) -> tuple[DataFrame, str]:
+    """``df`` as a written table bucketed by ``key``, and its name: later joins on the key need no shuffle of it."""
+    spark, name = df.sparkSession, f"{database}.t{uuid.uuid4().hex[:12]}"
+    df.write.bucketBy(buckets, key).format("parquet").saveAsTable(name)
+    return spark.table(name), name
