@@ -127,10 +127,12 @@ def hybrid(lexical: DataFrame, semantic: DataFrame | None, neighbours: DataFrame
 def batch_lexical(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """``query_id, id_col, score, rank``: BM25 of many queries (``query_id, terms``) at once, by one join on the terms.
 
-    Postings are reduced to the query terms before the shuffle by the join itself; the
-    ``k`` best per query are cut in every partition before the final rank.
+    Queries of the same terms are answered once.  Postings are reduced to the query
+    terms before the shuffle by the join itself; the ``k`` best per query are cut in
+    every partition before the final rank.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
+    asked = queries.select("query_id", F.array_sort(F.array_distinct("terms")).alias("_set")).filter(F.size("_set") > 0)
+    wanted = asked.select("_set").distinct().select(F.col("_set").alias("query_set"), F.explode("_set").alias("term"))
     base = chunks.select(id_col, tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("_t")).withColumn("_dl", F.size("_t"))
     stats = base.agg(F.count(F.lit(1)).alias("_N"), F.avg("_dl").alias("_avg"))
     postings = base.select(id_col, "_dl", F.explode("_t").alias("term")).groupBy(id_col, "_dl", "term").agg(F.count(F.lit(1)).alias("f"))
@@ -140,9 +142,10 @@ def batch_lexical(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "
     idf = F.log((F.col("_N") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf)
     weight = idf * F.col("f") * (K1 + 1) / (F.col("f") + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("_dl") / F.col("_avg")))
-    hits = scored.select("term", id_col, weight.alias("w")).join(wanted, "term").groupBy("query_id", id_col).agg(F.round(F.sum("w"), 9).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), id_col)
-    return hits.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
+    hits = scored.select("term", id_col, weight.alias("w")).join(wanted, "term").groupBy("query_set", id_col).agg(F.round(F.sum("w"), 9).alias("score"))
+    order = Window.partitionBy("query_set").orderBy(F.col("score").desc(), id_col)
+    best = hits.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
+    return asked.join(best, F.col("_set") == F.col("query_set")).select("query_id", id_col, "score", "rank")
 
 
 def retrieval_metrics(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:

@@ -15,7 +15,8 @@ def similar_sets(df: DataFrame, key: str, terms: str, threshold: float) -> DataF
 
     Exact prefix filter: terms are ordered from rare to frequent, and two sets can
     only be that similar if they share one of their first ``n - ceil(t n) + 1`` terms,
-    so the join runs on rare terms alone.  Rows with the same set are collapsed to
+    so the join runs on rare terms alone; at the first shared term the places in both
+    sets bound what can still be shared, which drops most pairs unseen.  Rows with the same set are collapsed to
     one class before the join, so copies never multiply; the pairs are between class
     representatives (the smallest key).  Null and empty sets take no part.
     """
@@ -25,10 +26,12 @@ def similar_sets(df: DataFrame, key: str, terms: str, threshold: float) -> DataF
     ordered = sets.select("k", F.explode("s").alias("term"), F.size("s").alias("n")).join(rarity, "term")
     place = Window.partitionBy("k").orderBy("df", "term")
     prefix = ordered.withColumn("i", F.row_number().over(place)).filter(F.col("i") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
-    a = prefix.select("term", F.col("k").alias("a"), F.col("n").alias("na"))
-    b = prefix.select("term", F.col("k").alias("b"), F.col("n").alias("nb"))
+    a = prefix.select("term", F.col("k").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"))
+    b = prefix.select("term", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
     sized = (F.col("nb") >= F.lit(threshold) * F.col("na")) & (F.col("na") >= F.lit(threshold) * F.col("nb"))
-    pairs = a.join(b, "term").filter((F.col("a") < F.col("b")) & sized).select("a", "b").distinct()
+    rest = 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    enough = rest >= F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - F.lit(1e-9)
+    pairs = a.join(b, "term").filter((F.col("a") < F.col("b")) & sized & enough).select("a", "b").distinct()
     full = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     similarity = both / (F.size("sa") + F.size("sb") - both)

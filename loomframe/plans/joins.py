@@ -29,15 +29,15 @@ def k1_current_pages(spark, d):
     return pages_now(spark, d).select("page_id", "slug", "space", "page_type", "kind", "domain", "content_hash", "indexed_at")
 
 
-@query("p1_scope", f"WITH {PG} SELECT page_id, slug FROM pg WHERE space = 'vault' AND page_type IN ('claim', 'entity') AND lower(trim(sensitivity)) = 'public'")
-def p1_scope(spark, d):
+@query("filter_scope", f"WITH {PG} SELECT page_id, slug FROM pg WHERE space = 'vault' AND page_type IN ('claim', 'entity') AND lower(trim(sensitivity)) = 'public'")
+def filter_scope(spark, d):
     rows = pages_now(spark, d)
     return rows.filter((F.col("space") == "vault") & F.col("page_type").isin("claim", "entity") & (S.norm(F.col("sensitivity")) == "public")).select("page_id", "slug")
 
 
-@query("p20_classify", f"""WITH {PG} SELECT page_id, CASE WHEN kind IN ('source', 'entity', 'claim') THEN kind WHEN slug LIKE 'graph/entities/%' THEN 'entity' WHEN slug LIKE 'raw/personal/%' THEN 'raw_source' WHEN slug LIKE 'raw/%' THEN 'source'
+@query("filter_classify", f"""WITH {PG} SELECT page_id, CASE WHEN kind IN ('source', 'entity', 'claim') THEN kind WHEN slug LIKE 'graph/entities/%' THEN 'entity' WHEN slug LIKE 'raw/personal/%' THEN 'raw_source' WHEN slug LIKE 'raw/%' THEN 'source'
   WHEN slug LIKE 'workshop/products/%/README.md' THEN 'product_readme' WHEN slug LIKE 'workshop/products/%' THEN 'product_page' ELSE 'unknown' END AS inferred FROM pg""")
-def p20_classify(spark, d):
+def filter_classify(spark, d):
     rules = [("graph/entities/*", "entity"), ("raw/personal/*", "raw_source"), ("raw/*", "source"), ("workshop/products/*/README.md", "product_readme"), ("workshop/products/*", "product_page")]
     found = F.when(F.col("kind").isin("source", "entity", "claim"), F.col("kind"))
     for glob, name in rules:
