@@ -12,7 +12,8 @@ def facets(df: DataFrame, key: str, kinds: dict[str, str]) -> DataFrame:
     """``key, kind, value`` rows from scalar or array columns, normed and without repeats; null and blank values are none."""
     types = dict(df.dtypes)
     rows = [F.col(c) if types[c].startswith("array") else F.array(F.col(c).cast("string")) for c in kinds.values()]
-    tagged = [F.transform(values, _tagger(kind)) for kind, values in zip(kinds, rows, strict=True)]
+    none = F.array().cast("array<struct<kind:string,value:string>>")
+    tagged = [F.coalesce(F.transform(values, _tagger(kind)), none) for kind, values in zip(kinds, rows, strict=True)]
     long = df.select(key, F.explode(F.concat(*tagged)).alias("f")).select(key, F.col("f.kind").alias("kind"), norm(F.col("f.value")).alias("value"))
     return long.filter(F.col("value").isNotNull() & (F.col("value") != "")).distinct()
 
