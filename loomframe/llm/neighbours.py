@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomframe.session import cut_lineage
+from loomframe.session import cut_lineage, scratch_database, write_bucketed
 
 _NEIGHBOUR = "struct<d:double,v:bigint,vb:array<int>,fresh:int>"
 
@@ -224,17 +224,32 @@ def _first_graph(blocks: DataFrame, k: int) -> DataFrame:
     return found.groupBy("u").agg(F.first("ub").alias("ub"), F.slice(merged, 1, k).alias("nb"))
 
 
-def _introductions(graph: DataFrame, first: bool, reverse: int) -> DataFrame:
-    """Pairs ``blk, x1, b1, x2, b2`` of vectors that share a neighbour, never shared a block, one edge at least being fresh."""
+def _edges(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges as ``c, cb, d, x, xb, fresh``: from each vector to its neighbours, and back."""
     edge = graph.select("u", "ub", F.explode("nb").alias("e"))
     forward = edge.select(F.col("u").alias("c"), F.col("ub").alias("cb"), F.col("e.d").alias("d"), F.col("e.v").alias("x"), F.col("e.vb").alias("xb"), "e.fresh")
     back = edge.select(F.col("e.v").alias("c"), F.col("e.vb").alias("cb"), F.col("e.d").alias("d"), F.col("u").alias("x"), F.col("ub").alias("xb"), "e.fresh")
-    around = forward.unionByName(back)
+    return forward, back
+
+
+def _introductions(graph: DataFrame, first: bool, reverse: int) -> DataFrame:
+    """Pairs ``blk, x1, b1, x2, b2`` of vectors that share a neighbour, never shared a block, one edge at least being fresh.
+
+    They are compared in ``blk``, the smaller of their first blocks, so that all pairs
+    between two blocks meet in one of them and the vectors travel one way only.
+
+    The first round looks at all edges in both directions.  Later rounds look at the
+    fresh edges in both directions and, around their ends, at the older edges of the
+    bucketed graph, so a round moves what the one before it changed.
+    """
+    forward, back = _edges(graph)
     if first:  # all edges lie inside blocks, so only a vector of several blocks can link strangers
-        around = around.filter(F.size("cb") > 1)
+        around = forward.unionByName(back).filter(F.size("cb") > 1).drop("cb")
     else:
-        touched = around.filter(F.col("fresh") == 1).select("c").distinct()
-        around = around.join(touched, "c", "left_semi")
+        fresh = forward.unionByName(back).filter(F.col("fresh") == 1).drop("cb")
+        touched = fresh.select(F.col("c").alias("u")).distinct()
+        older, _ = _edges(graph.join(touched, "u", "left_semi"))
+        around = fresh.unionByName(older.filter(F.col("fresh") == 0).drop("cb"))
     nearest = Window.partitionBy("c").orderBy("d", "x")
     around = around.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= reverse)
     groups = around.groupBy("c").agg(F.collect_set(F.struct("x", "xb", "fresh")).alias("l")).filter(F.size("l") > 1)
@@ -245,14 +260,13 @@ def _introductions(graph: DataFrame, first: bool, reverse: int) -> DataFrame:
         .filter((a["x"] < b["x"]) & ((a["fresh"] == 1) | (b["fresh"] == 1)) & ~F.arrays_overlap(a["xb"], b["xb"]))
     )
     return pairs.select(
-        F.element_at(a["xb"], 1).alias("blk"), a["x"].alias("x1"), a["xb"].alias("b1"), b["x"].alias("x2"), b["xb"].alias("b2")
+        F.least(F.element_at(a["xb"], 1), F.element_at(b["xb"], 1)).alias("blk"), a["x"].alias("x1"), a["xb"].alias("b1"), b["x"].alias("x2"), b["xb"].alias("b2")
     ).distinct()
 
 
-def _compared(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``u, e``: both directions of each pair with its distance; vectors travel once to each block that asks for them."""
+def _compared(pairs: DataFrame, home: DataFrame) -> DataFrame:
+    """``u, e``: both directions of each pair with its distance; vectors (``home``, one row each, or repeated) travel once to each block that asks for them."""
     wanted = pairs.select("blk", F.explode(F.array("x1", "x2")).alias("vec_id")).distinct()
-    home = blocks.filter(F.col("block") == F.element_at("blocks", 1)).select("vec_id", "vector")
     sent = wanted.join(home, "vec_id").select(F.col("blk").alias("to_blk"), "vec_id", "vector")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -286,24 +300,32 @@ def neighbour_graph(
     """
     cells = fit_cells(vectors, id_col, **fit) if cells is None else cells
     blocks = assign_blocks(vectors, cells, id_col)
-    graph = cut_lineage(_first_graph(blocks, k))
-    size = graph.count()
+    spark = vectors.sparkSession
+    scratch, buckets = scratch_database(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    graph, name = write_bucketed(_first_graph(blocks, k), scratch, "u", buckets)
+    home, home_name, size = None, "", graph.count()
     for number in range(rounds):
         pairs = cut_lineage(_introductions(graph, number == 0, reverse))
         if pairs.isEmpty():
             break
+        if home is None:  # every vector once, so that no round shuffles the vectors again
+            own = blocks.filter(F.col("block") == F.element_at("blocks", 1)).select("vec_id", "vector")
+            home, home_name = write_bucketed(own, scratch, "vec_id", buckets)
         rank = Window.partitionBy("u").orderBy("e.d", "e.v")
-        offers = _compared(pairs, blocks).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+        offers = _compared(pairs, home).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
         offers = offers.groupBy("u").agg(F.collect_list("e").alias("more"))
         old = F.transform("nb", lambda e: F.struct(e["d"].alias("d"), e["v"].alias("v"), e["vb"].alias("vb"), F.lit(0).alias("fresh")))
         known = F.transform("nb", lambda e: e["v"])
         more = F.filter(F.coalesce("more", F.array().cast(f"array<{_NEIGHBOUR}>")), lambda e: ~F.array_contains(known, e["v"]))
-        graph = cut_lineage(
-            graph.join(offers, "u", "left").select("u", "ub", F.slice(F.array_sort(F.concat(old, more)), 1, k).alias("nb"))
-        )
+        better = graph.join(offers, "u", "left").select("u", "ub", F.slice(F.array_sort(F.concat(old, more)), 1, k).alias("nb"))
+        graph, former = write_bucketed(better, scratch, "u", buckets)
+        spark.sql(f"DROP TABLE {name}")
+        name = former
         changed = graph.select(F.sum(F.aggregate("nb", F.lit(0), lambda s, e: s + e["fresh"])).alias("n")).first().n or 0
         if changed <= delta * size * k:
             break
+    if home is not None:
+        spark.sql(f"DROP TABLE {home_name}")
     return graph, blocks
 
 
