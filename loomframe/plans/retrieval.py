@@ -81,13 +81,13 @@ def g1_neighbours(spark, d):
 
 @query(
     "g5_components",
-    f"""WITH RECURSIVE {LK}, e AS (SELECT DISTINCT from_page AS a, to_page_id AS b FROM lk WHERE link_type = 'workshop' AND to_page_id IS NOT NULL AND to_page_id <> from_page AND to_page_id <> 1),
+    f"""WITH RECURSIVE {LK}, e AS (SELECT DISTINCT from_page AS a, to_page_id AS b FROM lk WHERE to_page_id IS NOT NULL AND to_page_id <> from_page),
 ed AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w(node, seen) AS (SELECT a, a FROM ed UNION SELECT w.node, ed.b FROM w JOIN ed ON ed.a = w.seen)
 SELECT node, least(node, min(seen)) AS component FROM w GROUP BY node""",
 )
 def g5_components(spark, d):
-    rows = link_rows(spark, d).filter((F.col("link_type") == "workshop") & (F.col("to_page_id") != 1))
-    return G.components(G.undirected(rows))
+    """Components over all resolved links of all types; the recursive SQL needs a row for every pair of pages of a component."""
+    return G.components(G.undirected(link_rows(spark, d)))
 
 
 @query(
