@@ -66,16 +66,17 @@ def contains_text(chunks: DataFrame, needle: str, id_col: str = "chunk_id", text
     return chunks.filter(F.lower(text_col).contains(low)).select(id_col, F.substr(F.col(text_col), F.greatest(at - 30, F.lit(1)), F.lit(120)).alias("snippet"))
 
 
-def nearest(base: DataFrame, queries: DataFrame, k: int, base_rows: int = 16_384, query_rows: int = 1_024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(base: DataFrame, queries: DataFrame, k: int, base_rows: int = 16_384, query_rows: int = 1_024, id_col: str = "vec_id", vector_col: str = "embedding", by: tuple[str, ...] = ()) -> DataFrame:
     """``query_id, vec_id, distance, rank``: exact L2 neighbours of a stated query set among all rows, in blocks.
 
     Both sides are cut into blocks of bounded size; every pair of blocks is one matrix
     product in one task, of which only the ``k`` best per query leave it.  A query that
     is among the rows does not find itself.  Null vectors, and vectors whose length
-    differs from that of the query, take no part; ties go to the smaller id.
+    differs from that of the query, take no part; ties go to the smaller id.  Only rows
+    that agree in the columns ``by`` are compared; an id stands for one vector.
     """
-    rows = base.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.size(vector_col).alias("n"))
-    asked = queries.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.size(vector_col).alias("n"))
+    rows = base.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.size(vector_col).alias("n"), *by)
+    asked = queries.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.size(vector_col).alias("n"), *by)
     nb, nq = max(1, math.ceil(rows.count() / base_rows)), max(1, math.ceil(asked.count() / query_rows))
     left = asked.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int")).withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
     right = rows.withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
@@ -101,7 +102,7 @@ def nearest(base: DataFrame, queries: DataFrame, k: int, base_rows: int = 16_384
         good = np.isfinite(far)
         return pa.table({"query_id": np.repeat(qi, good.sum(1)), "vec_id": who[good], "distance": far[good]}, schema=schema)
 
-    found = left.groupBy("n", "qb", "bb").cogroup(right.groupBy("n", "qb", "bb")).applyInArrow(block, "query_id long, vec_id long, distance double")
+    found = left.groupBy("n", *by, "qb", "bb").cogroup(right.groupBy("n", *by, "qb", "bb")).applyInArrow(block, "query_id long, vec_id long, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
 

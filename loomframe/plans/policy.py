@@ -70,19 +70,19 @@ def g4_relational(spark, d):
     return near.join(first, "page_id").select("page_id", F.round(1.0 / (1 + F.col("hops")), 9).alias("score"), F.substring("text", 1, 160).alias("snippet"))
 
 
-_OK = "SELECT DISTINCT vec_id, content_hash, CAST(vector AS DOUBLE[]) AS v FROM embedding_cache WHERE signature = 'loc-128/2' AND vector IS NOT NULL AND len(vector) = dim AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+_OK = "SELECT DISTINCT vec_id, content_hash, signature, CAST(vector AS DOUBLE[]) AS v FROM embedding_cache WHERE vector IS NOT NULL AND len(vector) = dim AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
 
 
-@query("r7_semantic_pages", f"""WITH ok AS ({_OK}), nn AS (SELECT q.vec_id AS query_id, b.content_hash, list_distance(q.v, b.v) AS far, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, b.v), b.vec_id) AS rn FROM ok q JOIN ok b ON q.vec_id <> b.vec_id WHERE q.vec_id % 50 = 0),
+@query("r7_semantic_pages", f"""WITH ok AS ({_OK}), nn AS (SELECT q.vec_id AS query_id, b.content_hash, list_distance(q.v, b.v) AS far, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, b.v), b.vec_id) AS rn FROM ok q JOIN ok b ON q.vec_id <> b.vec_id AND q.signature = b.signature AND len(q.v) = len(b.v) WHERE q.vec_id % 50 = 0),
 pg AS (SELECT query_id, page_id, min(far) AS far FROM nn JOIN {CH} c ON sha1(c.text) = nn.content_hash WHERE rn <= 40 GROUP BY ALL)
 SELECT query_id, page_id, round(far, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(far, 9), page_id) AS rn FROM pg) WHERE rn <= 5""")
 def r7_semantic_pages(spark, d):
-    """For every vector of one model whose id is divisible by 50: the five nearest pages, each by its nearest chunk."""
+    """For every vector whose id is divisible by 50: the five nearest pages by vectors of its signature, each by its nearest chunk."""
     from loomframe.operators.ranking import top_per_group
 
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = table(spark, d, "embedding_cache").filter((F.col("signature") == "loc-128/2") & (F.size("vector") == F.col("dim")) & finite).select("vec_id", "content_hash", "vector").distinct()
-    near = T.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0), 40, vector_col="vector")
+    rows = table(spark, d, "embedding_cache").filter(F.col("signature").isNotNull() & (F.size("vector") == F.col("dim")) & finite).select("vec_id", "content_hash", "signature", "vector").distinct()
+    near = T.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0), 40, vector_col="vector", by=("signature",))
     held = chunk_rows(spark, d).select("page_id", F.sha1("text").alias("content_hash")).distinct()
     pages = near.join(rows.select("vec_id", "content_hash"), "vec_id").join(held, "content_hash").groupBy("query_id", "page_id").agg(F.min("distance").alias("far"))
     return top_per_group(pages, ["query_id"], 5, F.round("far", 9), F.col("page_id")).select("query_id", "page_id", F.round("far", 6).alias("distance"))

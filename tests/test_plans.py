@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
+
+import numpy as np
 
 import __spark_entry__ as entry
 
@@ -18,3 +21,18 @@ def test_components_cover_all_link_types_and_page_one(spark, tmp_path):
             if b is not None and a != b:
                 name[a] = name[b] = min(name[a], name[b])
     assert {(r.node, r.component) for r in QUERIES["g5_components"](spark, str(tmp_path)).collect()} == set(name.items())
+
+
+def test_semantic_pages_answer_every_signature(spark, tmp_path):
+    r = np.random.default_rng(3)
+    text = {i: f"text {i}" for i in range(1, 241)}
+    model = {i: ("loc-128/2", "loc-96/1", "third")[i % 3] for i in text}
+    x = {i: np.float32(r.normal(size=4)) for i in text}
+    cache = [(i, hashlib.sha1(text[i].encode()).hexdigest(), model[i], 4, [float(v) for v in x[i]]) for i in text]
+    spark.createDataFrame(cache, "vec_id long, content_hash string, signature string, dim int, vector array<float>").write.parquet(f"{tmp_path}/embedding_cache.parquet")
+    spark.createDataFrame([(i, 1000 + i, 0, "h", text[i]) for i in text], "chunk_id long, page_id long, position int, heading_path string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    got: dict[int, set[int]] = {}
+    for row in QUERIES["r7_semantic_pages"](spark, str(tmp_path)).collect():
+        got.setdefault(row.query_id, set()).add(row.page_id - 1000)
+    far = lambda q, i: np.linalg.norm(x[q].astype(float) - x[i].astype(float))
+    assert got == {q: set(sorted((i for i in text if i != q and model[i] == model[q]), key=lambda i: far(q, i))[:5]) for q in (50, 100, 150, 200)}
