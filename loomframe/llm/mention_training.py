@@ -10,6 +10,7 @@ _CODAS = "n r l s th nd rk lm st x".split()
 _NOUNS = "window table letter garden engine report folder bridge market signal ticket sample branch bucket planner reviewer kettle shelf".split()
 _ADJ = "late empty partial stale public frozen silent nightly broken archived short pending".split()
 _VERBS = "merged counted opened copied sampled replayed touched moved skipped restored".split()
+_COMMON = "the a our one is was be could not had to of them at all in and or until unless before that still even when lost which made asking then without turned out last night because keep most rows during long twice it on for".split()
 _STREETS = "Street Road Lane Close Avenue Drive Court Way".split()
 _US_STREETS = "St Ave Blvd Rd Dr".split()
 _DE_ENDS = "straße weg platz gasse allee stieg ring damm".split()
@@ -177,6 +178,25 @@ class _Maker:
             )
         )
 
+    def free(self) -> list[tuple[str, str | None]]:
+        """Pieces of a sentence whose mention no fixed phrase announces."""
+        r, n, v = self.r, self.r.choice(_NOUNS), self.r.choice(_VERBS)
+        p, t = (f"{self.given()} {self.family()}", "person"), (f"{r.choice(('555', self.digits(3)))}-{self.digits(4)}", "phone")
+        return r.choice(
+            (
+                [p, f" {v} the {n}."], [p, f" reviewed the {n}."], [f"The {n} by ", p, f" was {r.choice(_ADJ)}."], ["Yesterday ", p, f" {v} the {n}."], [f"The {n} was {v} by ", p, "."], [f"We {v} the {n} with ", p, " again."],
+                ["Call ", t, " now."], ["Call me at ", t, f" about the {n}."], ["Phone: ", t], ["My number is ", t, "."],
+            )
+        )
+
+    def styled(self) -> str:
+        """A stretch of ordinary words, shouted or titled or plain, that names nobody."""
+        r = self.r
+        words = [r.choice(r.choice((_COMMON, _COMMON, _NOUNS, _ADJ, _VERBS))) + (r.choice((",", ";", f" {r.randint(2, 900)}", " -")) if r.random() < 0.12 else "") for _ in range(r.randint(4, 14))]
+        text, k = " ".join(words), r.random()
+        text = text.upper() if k < 0.45 else text.title() if k < 0.85 else _cap(text)
+        return text + r.choice((".", ".", "!", ""))
+
     def _other(self) -> tuple[str, str]:
         return (self.address(), "address")
 
@@ -193,12 +213,14 @@ def labelled_sentences(n: int, seed: int = 11) -> list[tuple[str, set[tuple[int,
             if text:
                 text += maker.r.choice((" ", " ", "\n", " | ")) if not text.endswith(("\n", " ")) else ""
             kind = maker.r.random()
-            if kind < 0.3:
+            if kind < 0.25:
                 text += maker.filler()
+            elif kind < 0.35:
+                text += maker.styled()
             elif kind < 0.55:
                 text += maker.negative()
             else:
-                for piece in maker.positive():
+                for piece in maker.free() if kind < 0.6 else maker.positive():
                     if isinstance(piece, str):
                         text += piece
                     else:

@@ -18,7 +18,6 @@ import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
-import ahocorasick
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -90,65 +89,31 @@ _FUNCTION = frozenset(
 )
 
 
-#: Literal signs of a mention nearby, in small letters.
-_SIGNS = (
-    "@", "(at)", "[at]", "{at}", " dot ", "tell ", "reported by", "reviewer ", "ping ", "paired with", "ask ", "paket an", "anruf von", "dr. ", "c/o ", "contact ",
-    "signed,", "form says", "name=", "wrote the", "wrote it", "wrote a", "brought the", "prefers ", "put it", "'s idea", "’s idea", "받는 사람", "담당자", " 씨", " 님", "씨가", "씨는", "님은", "님이", "성명", "귀하", " who wrote",
-    " street", " road", " lane", " avenue", " ave,", " blvd", " boulevard", " st,", " close,", " drive,", " court,", " apt ", "straße ", "strasse ", "weg ", "platz ", "gasse ", "allee ", "stieg ", "damm ", "ufer ", "teich ",
-)
-_NUMBERS = re.compile(r"\d(?:[-. ()/]{0,2}\d){7}|\d[a-z]?, \d{5} |\d{1,2} \d[A-Z]{2}\b|\d{5}(?<=[A-Z]{2} \d{5})")
-_KOREAN_HOUSE = re.compile(r"[로길] \d{1,3}(?:번?길)? ?\d?")
-_DAY = re.compile(r"\d{4}-\d\d-\d\d$")
-_BACK, _AHEAD = 64, 112
-_AUTOMATON: list[ahocorasick.Automaton] = []
-
-
-def _automaton() -> ahocorasick.Automaton:
-    if not _AUTOMATON:
-        made = ahocorasick.Automaton()
-        for sign in _SIGNS:
-            made.add_word(sign, len(sign))
-        made.make_automaton()
-        _AUTOMATON.append(made)
-    return _AUTOMATON[0]
-
-
-def windows(text: str) -> list[tuple[int, int]]:
-    """The stretches around literal signs and long numbers, merged; candidates are sought in them alone."""
-    small = text.lower()
-    if len(small) != len(text):
-        small = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    at = [(end - n + 1, end + 1) for end, n in _automaton().iter(small)]
-    at += [m.span() for m in _NUMBERS.finditer(text) if not _DAY.match(m[0])]
-    at += [m.span() for m in _KOREAN_HOUSE.finditer(text)]
-    at.sort()
-    out: list[tuple[int, int]] = []
-    for a, b in at:
-        low, high = max(0, a - _BACK), min(len(text), b + _AHEAD)
-        while high < len(text) and text[high - 1].isalnum() and text[high].isalnum() and high < b + 2 * _AHEAD:
-            high += 1
-        if out and low <= out[-1][1] + 8:
-            out[-1] = (out[-1][0], max(out[-1][1], high))
-        else:
-            while low > 0 and text[low - 1].isalnum() and low > a - 2 * _BACK:
-                low -= 1
-            out.append((low, high))
-    return out
+#: The fewest digits of a telephone number.
+_PHONE_DIGITS = 7
+#: Without one of these no address for mail is spelled out.
+_AT = re.compile(r"(?i)[\s(\[{]at[\s)\]}]")
+_HANGUL = re.compile(r"[\uac00-\ud7a3]")
+_DIGIT = re.compile(r"\d")
 
 
 def _shape(text: str) -> str:
     return regex.sub(r"\p{L}", "x", regex.sub(r"\d+", lambda m: str(len(m[0])), text))
 
 
-def _person_spans(text: str, low: int, high: int) -> Iterator[Span]:
+def _person_spans(text: str) -> Iterator[Span]:
     for form, pattern in _PERSON:
-        for m in pattern.finditer(text, low, high, overlapped=form in ("cap", "caps", "comma")):
+        if form == "hangul" and not _HANGUL.search(text):
+            continue
+        for m in pattern.finditer(text, overlapped=form in ("cap", "caps", "comma")):
             yield m.start(), m.end(), "person", form
 
 
-def _address_spans(text: str, low: int, high: int) -> Iterator[Span]:
+def _address_spans(text: str) -> Iterator[Span]:
     for form, pattern, parts in _ADDRESS:
-        for m in pattern.finditer(text, low, high):
+        if form == "hangul" and not _HANGUL.search(text):
+            continue
+        for m in pattern.finditer(text):
             end = m.end()
             yield m.start(), end, "address", form
             for part in parts:
@@ -164,29 +129,32 @@ def _address_spans(text: str, low: int, high: int) -> Iterator[Span]:
                 yield m.start(), end, "address", f"{form}, {part}"
 
 
+def _phone_spans(text: str) -> Iterator[Span]:
+    for m in _PHONE.finditer(text):
+        s, e = m.span()
+        if sum(c.isdigit() for c in m[0]) < _PHONE_DIGITS:
+            continue
+        yield s, e, "phone", _shape(text[s:e])
+        groups = list(_DIGITS.finditer(text, s, e))
+        for g in groups[1:]:
+            if text[g.start() - 1] == " " and sum(c.isdigit() for c in text[g.start() : e]) >= _PHONE_DIGITS:
+                yield g.start(), e, "phone", _shape(text[g.start() : e])
+        for g in groups[1:-1]:
+            if sum(c.isdigit() for c in text[s : g.end()]) >= _PHONE_DIGITS:
+                yield s, g.end(), "phone", _shape(text[s : g.end()])
+
+
 def candidates(text: str) -> list[Span]:
-    """Candidate segments ``(start, end, kind, form)``, of a few dozen tokens at most each."""
+    """Candidate segments ``(start, end, kind, form)`` of the whole text, of a few dozen tokens at most each."""
     found: list[Span] = []
-    for low, high in windows(text):
-        part = text[low:high]
-        if "@" in part or "at" in part or "AT" in part:
-            for form, pattern in _EMAIL:
-                found.extend((m.start(), m.end(), "email", form) for m in pattern.finditer(text, low, high))
-        for m in _PHONE.finditer(text, low, high):
-            s, e = m.span()
-            if sum(c.isdigit() for c in m[0]) < 9:
-                continue
-            found.append((s, e, "phone", _shape(text[s:e])))
-            groups = list(_DIGITS.finditer(text, s, e))
-            for g in groups[1:]:
-                if text[g.start() - 1] == " " and sum(c.isdigit() for c in text[g.start() : e]) >= 9:
-                    found.append((g.start(), e, "phone", _shape(text[g.start() : e])))
-            for g in groups[1:-1]:
-                if sum(c.isdigit() for c in text[s : g.end()]) >= 9:
-                    found.append((s, g.end(), "phone", _shape(text[s : g.end()])))
-        found.extend((m.start(), m.end(), "identity", _shape(m[0])) for m in _IDENTITY.finditer(text, low, high))
-        found.extend(_address_spans(text, low, high))
-        found.extend(_person_spans(text, low, high))
+    if "@" in text or _AT.search(text):
+        for form, pattern in _EMAIL:
+            found.extend((m.start(), m.end(), "email", form) for m in pattern.finditer(text))
+    if _DIGIT.search(text):
+        found.extend(_phone_spans(text))
+        found.extend((m.start(), m.end(), "identity", _shape(m[0])) for m in _IDENTITY.finditer(text))
+        found.extend(_address_spans(text))
+    found.extend(_person_spans(text))
     return list(dict.fromkeys(found))
 
 
@@ -210,8 +178,11 @@ def features(text: str, span: Span) -> list[str]:
         known = sum(w in _FUNCTION for w in words if len(w) > 1 and w not in ("van", "der", "von", "de"))
         shouted = regex.search(r"\p{Lu}{2,}\W*$", left) is not None or regex.match(r"\W*\p{Lu}{2,}", right) is not None
         titled = regex.search(r"\p{Lu}\p{Ll}+ $", left) is not None or regex.match(r" \p{Lu}\p{Ll}", right) is not None
+        near = regex.findall(r"\p{L}{2,}", left) + regex.findall(r"\p{L}{2,}", right)
+        loud = round(4 * sum(w.isupper() for w in near) / len(near)) if near else "none"
+        caps = round(4 * sum(w[0].isupper() for w in near) / len(near)) if near else "none"
         cue = f"{l1}&{r1}"
-        out += [f"p|known={min(known, 2)}", f"p|{form}|{gap}", f"p|l={l1}|{form[:5]}", f"p|r={r1}|{form[:5]}", f"p|cue={cue}", f"p|l2={l2} {l1}", f"p|words={len(words)}", f"p|shout={shouted}|{form}", f"p|title={titled}|{form}", f"p|last={words[-1][-3:]}"]
+        out += [f"p|known={min(known, 2)}", f"p|{form}|{gap}", f"p|l={l1}|{form[:5]}", f"p|r={r1}|{form[:5]}", f"p|cue={cue}", f"p|l2={l2} {l1}", f"p|words={len(words)}", f"p|shout={shouted}|{form}", f"p|title={titled}|{form}", f"p|last={words[-1][-3:]}", f"p|loud={loud}|{form}", f"p|caps={caps}|{form}|{gap}"]
         if right.startswith(("'s", "’s")):
             out.append("p|owner")
     elif kind == "email":
