@@ -186,12 +186,10 @@ def _best(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
         order = np.lexsort((top, exact), axis=1)[:, :k]
         who[low : low + 1024], far[low : low + 1024] = np.take_along_axis(top, order, 1), np.take_along_axis(exact, order, 1)
         for r in np.flatnonzero((worst >= kth - 1e-6) & (spare < n - 1)):
-            tied = np.flatnonzero(sims[r] >= kth[r] - 1e-6)
-            above = np.flatnonzero(sims[r] > kth[r] + 1e-6)
-            some = np.union1d(tied[: 4 * k], above)
-            e = -np.round(double[some] @ double[low + r], 13)
-            o = np.lexsort((some, e))[:k]
-            who[low + r], far[low + r] = some[o], e[o]
+            tied = np.flatnonzero(sims[r] >= kth[r] - 1e-6)  # all that may be among the k best
+            e = -np.round(np.concatenate([double[tied[at : at + 4096]] @ double[low + r] for at in range(0, len(tied), 4096)]), 13)
+            o = np.lexsort((tied, e))[:k]
+            who[low + r], far[low + r] = tied[o], e[o]
     return who, far
 
 
