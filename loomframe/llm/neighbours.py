@@ -62,10 +62,59 @@ def _well_formed(vectors: DataFrame, id_col: str) -> DataFrame:
     )
 
 
+def _members(unit: np.ndarray, cell: Cells, margin: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and cell of every membership: the nearest cell and those within ``margin`` of its cosine, ``most`` at the most."""
+    near = unit @ cell.centres.T
+    top = np.argsort(-near, axis=1, kind="stable")[:, :most] if near.shape[1] <= most else np.argpartition(-near, most - 1, axis=1)[:, :most]
+    value = np.take_along_axis(near, top, axis=1)
+    row, slot = np.nonzero(value >= value.max(axis=1, keepdims=True) - margin)
+    return row, top[row, slot]
+
+
+def _usable_parts(batch: pa.RecordBatch, cells: dict[tuple[str, int], Cells]) -> Iterator[tuple[tuple[str, int], Cells, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per signature and dim: the key, its cells, the row numbers of the usable vectors, these, and their unit vectors."""
+    names = np.array(batch.column("signature").to_pylist(), dtype=object)
+    dims = batch.column("dim").to_numpy(zero_copy_only=False)
+    for (signature, dim), cell in cells.items():
+        rows, x = _usable(batch, dim, np.flatnonzero((names == signature) & (dims == dim)))
+        if len(rows):
+            yield (signature, dim), cell, rows, x, x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
+
+
+def _sized(formed: DataFrame, cells: dict[tuple[str, int], Cells], block_rows: int, margin: float, most: int) -> dict[tuple[str, int], Cells]:
+    """The cells with their splits and block numbers, by a count of all memberships."""
+    model = formed.sparkSession.sparkContext.broadcast(cells)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {key: np.zeros(len(cell.centres), np.int64) for key, cell in model.value.items()}
+        for batch in batches:
+            if batch.num_rows:
+                for key, cell, _, _, unit in _usable_parts(batch, model.value):
+                    total[key] += np.bincount(_members(unit, cell, margin, most)[1], minlength=len(cell.centres))
+        for (signature, dim), n in total.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([signature] * len(at), pa.string()), pa.array(np.full(len(at), dim), pa.int32()), pa.array(at, pa.int32()), pa.array(n[at])], ["signature", "dim", "cell", "n"])
+
+    held = {key: np.zeros(len(cell.centres)) for key, cell in cells.items()}
+    for r in formed.mapInArrow(count, "signature string, dim int, cell int, n bigint").groupBy("signature", "dim", "cell").agg(F.sum("n").alias("n")).collect():
+        held[(r.signature, r.dim)][r.cell] = r.n
+    used = 0
+    for key, cell in cells.items():
+        splits = np.maximum(1, np.ceil(held[key] / block_rows)).astype(np.int64)
+        width = np.where(splits > 1, 2 * splits, 1)
+        cells[key] = Cells(cell.dim, cell.centres, used + np.concatenate([[0], np.cumsum(width)[:-1]]), splits)
+        used += int(width.sum())
+    return cells
+
+
 def fit_cells(
-    vectors: DataFrame, id_col: str = "vec_id", cell_rows: int = 1000, max_cells: int = 4096, sample_rows: int = 65_536, block_rows: int = 8192
+    vectors: DataFrame, id_col: str = "vec_id", cell_rows: int = 1000, max_cells: int = 4096, sample_rows: int = 65_536, block_rows: int = 8192, margin: float = 0.05, most: int = 3
 ) -> dict[tuple[str, int], Cells]:
-    """Spherical k-means per (signature, dim) on a sample of at most about ``sample_rows`` vectors chosen by a hash of the id."""
+    """Spherical k-means per (signature, dim) on a sample of at most about ``sample_rows`` vectors chosen by a hash of the id.
+
+    Equal centres become one; how often a cell is split follows from a count over all
+    vectors, placed as ``assign_blocks`` places them.
+    """
     formed = _well_formed(vectors, id_col)
     counts = {(r.signature, r.dim): r["count"] for r in formed.groupBy("signature", "dim").count().collect()}
     if not counts:
@@ -80,7 +129,7 @@ def fit_cells(
         .toArrow()
         .combine_chunks()
     )
-    cells, used = {}, 0
+    cells = {}
     signatures, dims = np.array(sample.column("signature").to_pylist(), dtype=object), sample.column("dim").to_numpy()
     batch = pa.RecordBatch.from_arrays([c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in sample.columns], sample.column_names) if len(sample) else None
     for (signature, dim), n in sorted(counts.items()):
@@ -102,13 +151,10 @@ def fit_cells(
             sums = np.add.reduceat(x[order], starts, axis=0)
             norms = np.linalg.norm(sums, axis=1, keepdims=True)
             centres[heads] = np.where(norms > 1e-9, sums / np.maximum(norms, 1e-9), centres[heads])
-        held = np.bincount((x @ centres.T).argmax(axis=1), minlength=k) / len(x) * n * 1.5
-        splits = np.maximum(1, np.ceil(held / block_rows)).astype(np.int64)
-        width = np.where(splits > 1, 2 * splits, 1)
-        first = used + np.concatenate([[0], np.cumsum(width)[:-1]])
-        used += int(width.sum())
-        cells[(signature, dim)] = Cells(dim, centres.astype(np.float32), first, splits)
-    return cells
+        _, distinct = np.unique(centres.round(6), axis=0, return_index=True)
+        centres = centres[np.sort(distinct)].astype(np.float32)
+        cells[(signature, dim)] = Cells(dim, centres, np.zeros(len(centres), np.int64), np.ones(len(centres), np.int64))
+    return _sized(formed, cells, block_rows, margin, most)
 
 
 def assign_blocks(vectors: DataFrame, cells: dict[tuple[str, int], Cells], id_col: str = "vec_id", margin: float = 0.05, most: int = 3) -> DataFrame:
@@ -125,20 +171,10 @@ def assign_blocks(vectors: DataFrame, cells: dict[tuple[str, int], Cells], id_co
         for batch in batches:
             if not batch.num_rows:
                 continue
-            names = np.array(batch.column("signature").to_pylist(), dtype=object)
-            dims = batch.column("dim").to_numpy(zero_copy_only=False)
             ids_all = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            for (signature, dim), cell in model.value.items():
-                rows, x = _usable(batch, dim, np.flatnonzero((names == signature) & (dims == dim)))
-                if not len(rows):
-                    continue
+            for _, cell, rows, x, unit in _usable_parts(batch, model.value):
                 ids = ids_all[rows]
-                unit = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
-                near = unit @ cell.centres.T
-                top = np.argsort(-near, axis=1, kind="stable")[:, :most] if near.shape[1] <= most else np.argpartition(-near, most - 1, axis=1)[:, :most]
-                value = np.take_along_axis(near, top, axis=1)
-                row, slot = np.nonzero(value >= value.max(axis=1, keepdims=True) - margin)
-                cell_of = top[row, slot]
+                row, cell_of = _members(unit, cell, margin, most)
                 split = cell.splits[cell_of]
                 one = cell.first[cell_of] + (_hash(ids[row], 1) % split.astype(np.uint64)).astype(np.int64)
                 two = cell.first[cell_of] + split + (_hash(ids[row], 2) % split.astype(np.uint64)).astype(np.int64)

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from loomframe.llm.neighbours import _best
+from loomframe.llm.neighbours import _best, assign_blocks, fit_cells
 
 
 def test_near_copies_are_compared_in_double_precision():
@@ -16,3 +16,13 @@ def test_near_copies_are_compared_in_double_precision():
     best = -np.sort(-exact, axis=1)[:, :5]
     assert np.abs(-far - best).max() < 2e-13
     assert np.abs(np.take_along_axis(exact, who, 1) - best).max() < 2e-13
+
+
+def test_no_block_holds_a_whole_group_of_copies(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(3000, 8)).astype(np.float32)
+    x[r.permutation(3000)[:1000]] = x[0]
+    df = spark.createDataFrame([(i, "s", 8, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, signature string, dim int, vector array<float>")
+    blocks = assign_blocks(df, fit_cells(df, cell_rows=50, block_rows=200))
+    assert blocks.groupBy("block").count().agg({"count": "max"}).first()[0] < 300
+    assert blocks.select("vec_id").distinct().count() == 3000
