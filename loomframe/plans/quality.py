@@ -103,15 +103,15 @@ def _terms(spark, d):
     "g5_similar_sets",
     f"""WITH s AS (SELECT list_sort({_TERMS}) AS s, min(memory_id) AS k FROM {MEM} WHERE body IS NOT NULL AND len({_TERMS}) > 0 GROUP BY 1),
 e AS (SELECT k, unnest(s) AS term FROM s), c AS (SELECT a.k AS a, b.k AS b, count(*) AS n FROM e a JOIN e b ON a.term = b.term AND a.k < b.k GROUP BY ALL)
-SELECT a, b, round(n / (len(x.s) + len(y.s) - n), 9) AS similarity FROM c JOIN s x ON x.k = a JOIN s y ON y.k = b WHERE n / (len(x.s) + len(y.s) - n) >= 0.8""",
+SELECT a, b, round(n / (len(x.s) + len(y.s) - n), 9) AS similarity FROM c JOIN s x ON x.k = a JOIN s y ON y.k = b WHERE n / (len(x.s) + len(y.s) - n) >= 0.7""",
 )
 def g5_similar_sets(spark, d):
-    return M.similar_sets(_terms(spark, d), "memory_id", "terms", 0.8).withColumn("similarity", F.round("similarity", 9))
+    return M.similar_sets(_terms(spark, d), "memory_id", "terms", 0.7).withColumn("similarity", F.round("similarity", 9))
 
 
 @query("g5_merge_groups")
 def g5_merge_groups(spark, d):
-    return M.merge_groups(_terms(spark, d), "memory_id", "terms", 0.8)
+    return M.merge_groups(_terms(spark, d), "memory_id", "terms", 0.7)
 
 
 @query(

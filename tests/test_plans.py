@@ -36,3 +36,13 @@ def test_semantic_pages_answer_every_signature(spark, tmp_path):
         got.setdefault(row.query_id, set()).add(row.page_id - 1000)
     far = lambda q, i: np.linalg.norm(x[q].astype(float) - x[i].astype(float))
     assert got == {q: set(sorted((i for i in text if i != q and model[i] == model[q]), key=lambda i: far(q, i))[:5]) for q in (50, 100, 150, 200)}
+
+
+def test_sets_merge_from_seven_tenths(spark, tmp_path, monkeypatch):
+    from loomframe.plans import quality
+
+    sets = [["aaaa", "bbbb", "cccc", "dddd"], ["aaaa", "bbbb", "cccc"], ["eeee", "ffff", "gggg"], ["eeee", "ffff", "hhhh"]]
+    rows = spark.createDataFrame([(i, "p", x) for i, x in enumerate(sets)], "memory_id long, project string, terms array<string>")
+    monkeypatch.setattr(quality, "_terms", lambda spark, d: rows)
+    assert [tuple(r) for r in QUERIES["g5_similar_sets"](spark, "").collect()] == [(0, 1, 0.75)]
+    assert {(r.memory_id, r.group_id) for r in QUERIES["g5_merge_groups"](spark, "").collect()} == {(0, 0), (1, 0)}
