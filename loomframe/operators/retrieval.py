@@ -91,16 +91,22 @@ def nearest(base: DataFrame, queries: DataFrame, k: int, base_rows: int = 16_384
         y = b.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(bi), width)
         order = np.argsort(bi, kind="stable")
         bi, y = bi[order], y[order]
-        near = np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0)
-        near[qi[:, None] == bi[None, :]] = np.inf
-        take = min(k + 8, len(bi))
-        top = np.argpartition(near, take - 1, axis=1)[:, :take]
-        exact = np.sqrt(((x[:, None, :] - y[top]) ** 2).sum(2))
-        exact[bi[top] == qi[:, None]] = np.inf
-        best = np.lexsort((bi[top], exact), axis=1)[:, :k]
-        who, far = np.take_along_axis(bi[top], best, 1), np.take_along_axis(exact, best, 1)
-        good = np.isfinite(far)
-        return pa.table({"query_id": np.repeat(qi, good.sum(1)), "vec_id": who[good], "distance": far[good]}, schema=schema)
+        x2, y2 = (x**2).sum(1), (y**2).sum(1)
+        who, far, asked_by = [], [], []
+        for low in range(0, len(qi), 128):
+            near = x2[low : low + 128, None] + y2[None, :] - 2 * x[low : low + 128] @ y.T
+            slack = 1e-15 * (width + 8) * (x2[low : low + 128, None] + y2[None, :])  # bounds the rounding of the form above
+            near[(qi[low : low + 128, None] == bi[None, :]) | np.isnan(near)] = np.inf
+            worst = near + slack
+            kth = np.partition(worst, min(k, len(bi)) - 1, axis=1)[:, min(k, len(bi)) - 1]
+            for r, may in enumerate((near - slack <= kth[:, None]) & np.isfinite(near)):  # every row that may be among the k best, ties included
+                some = np.flatnonzero(may)
+                exact = np.sqrt(((x[low + r] - y[some]) ** 2).sum(1))
+                best = np.argsort(exact, kind="stable")[:k]
+                who.append(bi[some[best]])
+                far.append(exact[best])
+                asked_by.append(np.full(len(best), qi[low + r]))
+        return pa.table({"query_id": np.concatenate(asked_by), "vec_id": np.concatenate(who), "distance": np.concatenate(far)}, schema=schema)
 
     found = left.groupBy("n", *by, "qb", "bb").cogroup(right.groupBy("n", *by, "qb", "bb")).applyInArrow(block, "query_id long, vec_id long, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
