@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,26 +27,35 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the session names in ``spark.checkpoint.dir``; set one only where none is named."""
-    if spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir():
-        return
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``; where none is named, one of this machine, in local mode only."""
+    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, so that a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def scratch_database(spark: SparkSession) -> str:
-    """A database whose tables lie in the shared checkpoint folder; dropping a table frees its files."""
-    ensure_checkpoint_dir(spark)
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+@contextmanager
+def scratch_database(spark: SparkSession, name: str | None = None) -> Iterator[str]:
+    """A database whose tables lie in the shared checkpoint folder, dropped with them at the end; ``name``: one that somebody else drops."""
+    if name is not None:
+        yield name
+        return
     name = f"scratch_{uuid.uuid4().hex[:12]}"
-    spark.sql(f"CREATE DATABASE {name} LOCATION '{base.rstrip('/')}/{name}'")
-    return name
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{checkpoint_folder(spark).rstrip('/')}/{name}'")
+    try:
+        yield name
+    finally:
+        spark.sql(f"DROP DATABASE IF EXISTS {name} CASCADE")
 
 
 def write_bucketed(df: DataFrame, database: str, key: str, buckets: int) -> tuple[DataFrame, str]:

@@ -3,21 +3,18 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomframe.session import ensure_checkpoint_dir
+from loomframe.session import checkpoint_folder
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for ``name`` in the shared checkpoint folder of the session."""
-    ensure_checkpoint_dir(spark)
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def latest_rows(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
