@@ -1,40 +1,55 @@
 """Most similar vectors for every vector (problem 4).
 
-NN-descent: a first neighbour graph comes from cells of similar vectors, each
-searched exactly inside; then every vector introduces its neighbours to each
-other by Spark joins, and pairs that never shared a cell are compared, until
-a round improves next to nothing.  New vectors are answered by greedy search
-along the graph.
-
-Vectors are compared by the cosine in double precision; ties go to the
-smaller id.  Cells come from a spherical k-means fitted on a bounded sample
-(``sample_rows`` per signature); every usable vector is then indexed.
+NN-descent: a rough first graph comes from small random-projection leaves; in
+every round each vector introduces its neighbours, and those it is a neighbour
+of, to each other, and whoever is nearer than a present neighbour takes its
+place, until a round changes next to nothing.  New vectors are answered by
+greedy search along the graph.
+
+The rounds are Spark joins that move little: the vectors lie in a table
+bucketed by block (vectors near each other), the graph beside it, and only edges
+between blocks, the vectors at their ends and the finds for other blocks travel.
+A block is where things lie, not what is compared: inside of it only leaf mates
+of the start and introduced pairs meet.
+
+Vectors are compared by the cosine in double precision; ties go to the smaller
+id.  The blocks' centres are fitted on a bounded sample (``sample_rows`` over all
+signatures together); every usable vector is then indexed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomframe.session import cut_lineage, scratch_database, write_bucketed
 
-_NEIGHBOUR = "struct<d:double,v:bigint,vb:array<int>,fresh:int>"
+_ENTRY = "struct<d:double,v:bigint,vb:int,fresh:int>"
+_ENTRY_ARROW = pa.struct([("d", pa.float64()), ("v", pa.int64()), ("vb", pa.int32()), ("fresh", pa.int32())])
+_PLACED = "blk int, vec_id bigint, home int, visits array<int>, vector binary"
+_LISTS = f"blk int, at int, u bigint, nb array<{_ENTRY}>"
+_MESSAGE = f"blk int, kind int, u bigint, ub int, worst double, vector binary, nb array<{_ENTRY}>"
+#: Kinds of message to a block: a row of its graph, an edge from elsewhere to one of its vectors, a vector from elsewhere.
+_ROW, _POINTED, _SHIPPED = 0, 1, 2
 
 
 @dataclass(frozen=True)
 class Cells:
-    """The cells of one signature: unit centres, the first block number, and into how many blocks each cell is split."""
+    """The cells of one signature: unit centres; the bits that split each; per part of a cell the number of blocks and the first one."""
 
     dim: int
     centres: np.ndarray
+    bits: np.ndarray
+    part_of: np.ndarray
+    shares: np.ndarray
     first: np.ndarray
-    splits: np.ndarray
 
 
 def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
@@ -56,95 +71,138 @@ def _hash(ids: np.ndarray, seed: int) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _well_formed(vectors: DataFrame, id_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).alias("vec_id"), "signature", "dim", "vector").filter(
         F.col("vec_id").isNotNull() & F.col("signature").isNotNull() & (F.col("dim") > 0) & (F.size("vector") == F.col("dim"))
     )
 
 
-def _members(unit: np.ndarray, cell: Cells, margin: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and cell of every membership: the nearest cell and those within ``margin`` of its cosine, ``most`` at the most."""
-    near = unit @ cell.centres.T
-    top = np.argsort(-near, axis=1, kind="stable")[:, :most] if near.shape[1] <= most else np.argpartition(-near, most - 1, axis=1)[:, :most]
-    value = np.take_along_axis(near, top, axis=1)
-    row, slot = np.nonzero(value >= value.max(axis=1, keepdims=True) - margin)
-    return row, top[row, slot]
-
+def _directions(dim: int, bits: int) -> np.ndarray:
+    return np.random.default_rng(dim).normal(size=(32, dim))[:bits].astype(np.float32) / np.float32(np.sqrt(dim))
 
-def _usable_parts(batch: pa.RecordBatch, cells: dict[tuple[str, int], Cells]) -> Iterator[tuple[tuple[str, int], Cells, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per signature and dim: the key, its cells, the row numbers of the usable vectors, these, and their unit vectors."""
-    names = np.array(batch.column("signature").to_pylist(), dtype=object)
-    dims = batch.column("dim").to_numpy(zero_copy_only=False)
-    for (signature, dim), cell in cells.items():
-        rows, x = _usable(batch, dim, np.flatnonzero((names == signature) & (dims == dim)))
-        if len(rows):
-            yield (signature, dim), cell, rows, x, x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
 
+def _parts(unit: np.ndarray, cell: Cells, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, part and whether it is the home, of every membership.
 
-def _sized(formed: DataFrame, cells: dict[tuple[str, int], Cells], block_rows: int, margin: float, most: int) -> dict[tuple[str, int], Cells]:
-    """The cells with their splits and block numbers, by a count of all memberships."""
+    Home is the nearest cell's part; visited are the second nearest cell within
+    ``margin`` of that cosine and, in a split cell, the part across the nearest cut.
+    """
+    rows = np.arange(len(unit))
+    near = unit @ cell.centres.T
+    one = near.argmax(axis=1)
+    best = near[rows, one]
+    near[rows, one] = -np.inf
+    two = near.argmax(axis=1)
+    close = rows[near[rows, two] >= best - margin]
+    row, of = np.concatenate([rows, close]), np.concatenate([one, two[close]])
+    home = np.arange(len(row)) < len(rows)
+    code = np.zeros(len(row), np.int64)
+    most = int(cell.bits.max())
+    if most:
+        split = np.flatnonzero(cell.bits[of])
+        away = unit[row[split]] - cell.centres[of[split]]
+        side = away @ _directions(cell.dim, most).T
+        counts = np.arange(most) < cell.bits[of[split]][:, None]
+        code[split] = ((side > 0) & counts) @ (1 << np.arange(most))
+        gap = np.where(counts, np.abs(side), np.inf)
+        nearest = gap.argmin(axis=1)
+        across = home[split] & (gap[np.arange(len(split)), nearest] <= 0.5 * np.linalg.norm(away, axis=1) / np.sqrt(cell.dim))
+        other = split[across]
+        row, of, home = np.concatenate([row, row[other]]), np.concatenate([of, of[other]]), np.concatenate([home, np.zeros(len(other), bool)])
+        code = np.concatenate([code, code[other] ^ (1 << nearest[across])])
+    return row, cell.part_of[of] + code, home
+
+
+def _each_signature(batch: pa.RecordBatch, cells: dict[tuple[str, int], Cells]) -> Iterator[tuple[tuple[str, int], Cells, np.ndarray, np.ndarray]]:
+    """Per signature and dim that occurs: the key, its cells, the row numbers of the usable vectors, and these."""
+    names = pc.dictionary_encode(batch.column("signature"))
+    codes, dims = names.indices.to_numpy(zero_copy_only=False), batch.column("dim").to_numpy(zero_copy_only=False)
+    for number, signature in enumerate(names.dictionary.to_pylist()):
+        for dim in np.unique(dims[codes == number]):
+            cell = cells.get((signature, int(dim)))
+            if cell is not None:
+                rows, x = _usable(batch, int(dim), np.flatnonzero((codes == number) & (dims == dim)))
+                if len(rows):
+                    yield (signature, int(dim)), cell, rows, x
+
+
+def _held(formed: DataFrame, cells: dict[tuple[str, int], Cells], margin: float) -> dict[tuple[str, int], np.ndarray]:
+    """The memberships of every part, counted over all vectors."""
     model = formed.sparkSession.sparkContext.broadcast(cells)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {key: np.zeros(len(cell.centres), np.int64) for key, cell in model.value.items()}
+        total: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
-            if batch.num_rows:
-                for key, cell, _, _, unit in _usable_parts(batch, model.value):
-                    total[key] += np.bincount(_members(unit, cell, margin, most)[1], minlength=len(cell.centres))
+            for key, cell, _, x in _each_signature(batch, model.value):
+                n = np.bincount(_parts(_unit(x).astype(np.float32), cell, margin)[1], minlength=len(cell.shares))
+                total[key] = total.get(key, 0) + n
         for (signature, dim), n in total.items():
             at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([signature] * len(at), pa.string()), pa.array(np.full(len(at), dim), pa.int32()), pa.array(at, pa.int32()), pa.array(n[at])], ["signature", "dim", "cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([signature] * len(at), pa.string()), pa.array(np.full(len(at), dim), pa.int32()), pa.array(at, pa.int32()), pa.array(n[at])], ["signature", "dim", "part", "n"])
 
-    held = {key: np.zeros(len(cell.centres)) for key, cell in cells.items()}
-    for r in formed.mapInArrow(count, "signature string, dim int, cell int, n bigint").groupBy("signature", "dim", "cell").agg(F.sum("n").alias("n")).collect():
-        held[(r.signature, r.dim)][r.cell] = r.n
+    held = {key: np.zeros(len(cell.shares)) for key, cell in cells.items()}
+    counted = formed.mapInArrow(count, "signature string, dim int, part int, n bigint").groupBy("signature", "dim", "part").agg(F.sum("n").alias("n"))
+    for r in counted.toLocalIterator():
+        held[(r.signature, r.dim)][r.part] = r.n
+    return held
+
+
+def _laid_out(formed: DataFrame, cells: dict[tuple[str, int], Cells], block_rows: int, margin: float) -> dict[tuple[str, int], Cells]:
+    """Cells of more than ``block_rows`` split by random projections; parts that are still larger (near copies) by hashes of the id."""
+    held = _held(formed, cells, margin)
+    for key, cell in cells.items():
+        bits = np.ceil(np.log2(np.maximum(1.0, held[key] / block_rows))).astype(np.int64)
+        width = 1 << bits
+        cells[key] = replace(cell, bits=bits, part_of=np.cumsum(width) - width, shares=np.ones(int(width.sum()), np.int64))
+    if any(cell.bits.any() for cell in cells.values()):
+        held = _held(formed, cells, margin)
+        for key, cell in cells.items():
+            cells[key] = replace(cell, shares=np.where(held[key] > block_rows, np.ceil(2 * held[key] / block_rows), 1).astype(np.int64))
     used = 0
     for key, cell in cells.items():
-        splits = np.maximum(1, np.ceil(held[key] / block_rows)).astype(np.int64)
-        width = np.where(splits > 1, 2 * splits, 1)
-        cells[key] = Cells(cell.dim, cell.centres, used + np.concatenate([[0], np.cumsum(width)[:-1]]), splits)
-        used += int(width.sum())
+        cells[key] = replace(cell, first=used + np.cumsum(cell.shares) - cell.shares)
+        used += int(cell.shares.sum())
     return cells
 
 
 def fit_cells(
-    vectors: DataFrame, id_col: str = "vec_id", cell_rows: int = 1000, max_cells: int = 4096, sample_rows: int = 65_536, block_rows: int = 8192, margin: float = 0.05, most: int = 3
+    vectors: DataFrame, id_col: str = "vec_id", cell_rows: int = 1000, sample_rows: int = 65_536, block_rows: int = 8192, margin: float = 0.05
 ) -> dict[tuple[str, int], Cells]:
-    """Spherical k-means per (signature, dim) on a sample of at most about ``sample_rows`` vectors chosen by a hash of the id.
+    """Centres per (signature, dim) by spherical k-means on a sample chosen by a hash of the id, and how cells are split.
 
-    Equal centres become one; how often a cell is split follows from a count over all
-    vectors, placed as ``assign_blocks`` places them.
+    The sample holds about ``sample_rows`` vectors over all signatures together, 64 a
+    centre.  How a cell is split follows from a count over all vectors.
     """
     formed = _well_formed(vectors, id_col)
-    counts = {(r.signature, r.dim): r["count"] for r in formed.groupBy("signature", "dim").count().collect()}
+    counts = {(r.signature, r.dim): r["count"] for r in formed.groupBy("signature", "dim").count().toLocalIterator()}
     if not counts:
         return {}
-    plan = {k: min(max_cells, max(1, n // cell_rows)) for k, n in counts.items()}
-    share = {k: min(1.0, min(sample_rows, 64 * plan[k]) / counts[k]) for k in plan}
-    rates = formed.sparkSession.createDataFrame([(s, d, int(f * 1_000_000)) for (s, d), f in share.items()], "signature string, dim int, rate int")
+    whole = sum(counts.values())
+    wanted = {key: max(1, n // cell_rows) for key, n in counts.items()}
+    rates = [(s, d, int(1_000_000 * min(1.0, 64 * wanted[(s, d)] / n, sample_rows / whole)) + 1) for (s, d), n in counts.items()]
     sample = (
-        formed.join(F.broadcast(rates), ["signature", "dim"])
+        formed.join(formed.sparkSession.createDataFrame(rates, "signature string, dim int, rate int"), ["signature", "dim"])
         .filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < F.col("rate"))
         .select("signature", "dim", "vec_id", "vector")
         .toArrow()
         .combine_chunks()
     )
     cells = {}
-    signatures, dims = np.array(sample.column("signature").to_pylist(), dtype=object), sample.column("dim").to_numpy()
-    batch = pa.RecordBatch.from_arrays([c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in sample.columns], sample.column_names) if len(sample) else None
+    batch = sample.to_batches()[0] if len(sample) else None
+    names, dims = np.array(sample.column("signature").to_pylist(), dtype=object), sample.column("dim").to_numpy()
     for (signature, dim), n in sorted(counts.items()):
         x = np.zeros((0, dim), np.float32)
         if batch is not None:
-            rows = np.flatnonzero((signatures == signature) & (dims == dim))
-            rows, x = _usable(batch, dim, rows)
-            ids = batch.column("vec_id").to_numpy(zero_copy_only=False)[rows]
-            x = x[np.argsort(ids, kind="stable")]
-        if not len(x):
-            x = np.eye(1, dim, dtype=np.float32)
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        k = min(plan[(signature, dim)], len(x))
-        centres = x[np.random.default_rng(17).choice(len(x), k, replace=False)].copy()
-        for _ in range(8):
+            rows, x = _usable(batch, dim, np.flatnonzero((names == signature) & (dims == dim)))
+            x = x[np.argsort(batch.column("vec_id").to_numpy(zero_copy_only=False)[rows], kind="stable")]
+        x = _unit(x if len(x) else np.eye(1, dim)).astype(np.float32)
+        centres = x[np.random.default_rng(17).choice(len(x), min(max(1, n // cell_rows), -(-len(x) // 16)), replace=False)].copy()
+        for _ in range(6):
             owner = (x @ centres.T).argmax(axis=1)
             order = np.argsort(owner, kind="stable")
             heads, starts = np.unique(owner[order], return_index=True)
@@ -153,214 +211,352 @@ def fit_cells(
             centres[heads] = np.where(norms > 1e-9, sums / np.maximum(norms, 1e-9), centres[heads])
         _, distinct = np.unique(centres.round(6), axis=0, return_index=True)
         centres = centres[np.sort(distinct)].astype(np.float32)
-        cells[(signature, dim)] = Cells(dim, centres, np.zeros(len(centres), np.int64), np.ones(len(centres), np.int64))
-    return _sized(formed, cells, block_rows, margin, most)
-
+        none = np.zeros(len(centres), np.int64)
+        cells[(signature, dim)] = Cells(dim, centres, none, np.arange(len(centres)), none + 1, none)
+    return _laid_out(formed, cells, block_rows, margin)
 
-def assign_blocks(vectors: DataFrame, cells: dict[tuple[str, int], Cells], id_col: str = "vec_id", margin: float = 0.05, most: int = 3) -> DataFrame:
-    """``block, vec_id, blocks, vector`` (vector as float bytes): every usable vector in each of its blocks.
 
-    A vector goes to its nearest cell and to cells within ``margin`` of that
-    cosine, ``most`` at the most.  A cell too large for one block is split twice
-    by independent hashes of the id, so that its parts stay linked.
-    """
+def assign_blocks(vectors: DataFrame, cells: dict[tuple[str, int], Cells], id_col: str = "vec_id", margin: float = 0.05) -> DataFrame:
+    """``blk, vec_id, home, visits, vector`` (vector as float bytes): every usable vector in its home block and in those it visits."""
     model = vectors.sparkSession.sparkContext.broadcast(cells)
-    schema = "block int, vec_id bigint, blocks array<int>, vector binary"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids_all = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            for _, cell, rows, x, unit in _usable_parts(batch, model.value):
-                ids = ids_all[rows]
-                row, cell_of = _members(unit, cell, margin, most)
-                split = cell.splits[cell_of]
-                one = cell.first[cell_of] + (_hash(ids[row], 1) % split.astype(np.uint64)).astype(np.int64)
-                two = cell.first[cell_of] + split + (_hash(ids[row], 2) % split.astype(np.uint64)).astype(np.int64)
-                twice = split > 1
-                row, block = np.concatenate([row, row[twice]]), np.concatenate([one, two[twice]])
-                order = np.lexsort((block, row))
-                row, block = row[order], block[order].astype(np.int32)
-                counts = np.bincount(row, minlength=len(rows))
-                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(block))
-                raw = pa.array([v.tobytes() for v in x], pa.binary())
-                pick = pa.array(row)
+            all_ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
+            for _, cell, rows, x in _each_signature(batch, model.value):
+                ids = all_ids[rows]
+                row, part, home = _parts(_unit(x).astype(np.float32), cell, margin)
+                share = cell.shares[part].astype(np.uint64)
+                block = cell.first[part] + (_hash(ids[row], 1) % share).astype(np.int64)
+                again = np.flatnonzero(home & (share > 1))
+                other = cell.first[part[again]] + (_hash(ids[row[again]], 2) % share[again]).astype(np.int64)
+                lives = np.zeros(len(rows), np.int64)
+                lives[row[home]] = block[home]
+                pair = np.unique(np.stack([np.concatenate([row, row[again]]), np.concatenate([block, other])]), axis=1)
+                row, block = pair[0], pair[1].astype(np.int32)
+                ends = np.searchsorted(row, np.arange(len(rows) + 1)).astype(np.int32)
+                visits = pa.ListArray.from_arrays(pa.array(ends), pa.array(block))
+                raw, pick = pa.array([v.tobytes() for v in x], pa.binary()), pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(block), pa.array(ids[row], pa.int64()), lists.take(pick), raw.take(pick)], ["block", "vec_id", "blocks", "vector"]
+                    [pa.array(block), pa.array(ids[row], pa.int64()), pa.array(lives[row].astype(np.int32)), visits.take(pick), raw.take(pick)],
+                    ["blk", "vec_id", "home", "visits", "vector"],
                 )
 
-    return _well_formed(vectors, id_col).mapInArrow(place, schema)
+    return _well_formed(vectors, id_col).mapInArrow(place, _PLACED)
+
+
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
 
 
 def _floats(column: pa.ChunkedArray) -> np.ndarray:
     """Rows of equal-length float bytes as a matrix."""
-    values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if isinstance(values, pa.ChunkedArray):
-        values = pa.concat_arrays(values.chunks)
+    values = _flat(column)
     return np.frombuffer(b"".join(values.to_pylist()), np.float32).reshape(len(values), -1)
 
 
-def _best(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and rounded negative cosines of the ``k`` best others of each row; ids ascend, so ties go to the smaller."""
-    n = len(ids)
-    k = min(k, n - 1)
-    double = x.astype(np.float64)
-    double /= np.linalg.norm(double, axis=1, keepdims=True)
-    unit = double.astype(np.float32)
-    spare = min(k + 8, n - 1)
-    who, far = np.zeros((n, k), np.int64), np.zeros((n, k))
-    for low in range(0, n, 1024):
-        sims = unit[low : low + 1024] @ unit.T
-        rows = np.arange(len(sims))
-        sims[rows, rows + low] = -np.inf
-        top = np.argpartition(-sims, spare - 1, axis=1)[:, :spare]
-        value = np.take_along_axis(sims, top, axis=1)
-        worst, kth = value.min(axis=1), -np.partition(-value, k - 1, axis=1)[:, k - 1]
-        exact = -np.round(np.einsum("ij,ikj->ik", double[low : low + 1024], double[top]), 13)
-        order = np.lexsort((top, exact), axis=1)[:, :k]
-        who[low : low + 1024], far[low : low + 1024] = np.take_along_axis(top, order, 1), np.take_along_axis(exact, order, 1)
-        for r in np.flatnonzero((worst >= kth - 1e-6) & (spare < n - 1)):
-            tied = np.flatnonzero(sims[r] >= kth[r] - 1e-6)  # all that may be among the k best
-            e = -np.round(np.concatenate([double[tied[at : at + 4096]] @ double[low + r] for at in range(0, len(tied), 4096)]), 13)
-            o = np.lexsort((tied, e))[:k]
-            who[low + r], far[low + r] = tied[o], e[o]
-    return who, far
-
-
-def _lists(flat: pa.Array, per_row: int, rows: int) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * per_row), flat)
-
-
-def _first_graph(blocks: DataFrame, k: int) -> DataFrame:
-    """``u, ub, nb``: the best ``k`` of each vector inside each of its blocks."""
-
-    def search(table: pa.Table) -> pa.Table:
-        ids = table.column("vec_id").to_numpy()
-        _, keep = np.unique(ids, return_index=True)
-        table, ids = table.take(pa.array(keep)), ids[keep]
-        homes = table.column("blocks").combine_chunks()
-        homes = pa.concat_arrays(homes.chunks) if isinstance(homes, pa.ChunkedArray) else homes
-        if len(ids) > 1:
-            who, far = _best(ids, _floats(table.column("vector")), k)
-        else:
-            who, far = np.zeros((1, 0), np.int64), np.zeros((1, 0))
-        flat = who.ravel()
-        entries = pa.StructArray.from_arrays(
-            [pa.array(far.ravel()), pa.array(ids[flat], pa.int64()), homes.take(pa.array(flat)), pa.array(np.ones(len(flat), np.int32))],
-            ["d", "v", "vb", "fresh"],
+def _starts(owner: np.ndarray) -> np.ndarray:
+    """For each element of a sorted array its place within its run."""
+    return np.arange(len(owner)) - np.searchsorted(owner, owner)
+
+
+def _distance(unit: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Negative cosines of pairs of rows, in double precision."""
+    return np.concatenate([np.zeros(0), *(-np.round(np.einsum("ij,ij->i", unit[a[s : s + 65536]], unit[b[s : s + 65536]]), 13) for s in range(0, len(a), 65536))])
+
+
+@dataclass
+class _Entries:
+    """Neighbour entries of several vectors, as equally long arrays: whose, how far, who, at home where, new or not."""
+
+    owner: np.ndarray
+    d: np.ndarray
+    v: np.ndarray
+    vb: np.ndarray
+    fresh: np.ndarray
+
+    def take(self, rows: np.ndarray) -> _Entries:
+        return _Entries(self.owner[rows], self.d[rows], self.v[rows], self.vb[rows], self.fresh[rows])
+
+    def plus(self, other: _Entries) -> _Entries:
+        return _Entries(*(np.concatenate([getattr(self, n), getattr(other, n)]) for n in ("owner", "d", "v", "vb", "fresh")))
+
+    def best(self, k: int) -> _Entries:
+        """The ``k`` nearest of each owner, nearest first, ties by id; one entry a neighbour, the known before the new."""
+        order = np.lexsort((self.fresh, self.v, self.d, self.owner))
+        one = self.take(order)
+        again = np.zeros(len(order), bool)
+        again[1:] = (one.owner[1:] == one.owner[:-1]) & (one.v[1:] == one.v[:-1])
+        one = one.take(np.flatnonzero(~again))
+        return one.take(np.flatnonzero(_starts(one.owner) < k))
+
+    @classmethod
+    def of(cls, owner: np.ndarray, lists: pa.Array) -> _Entries:
+        """From list cells, ``owner`` naming each cell's vector."""
+        inner = lists.flatten()
+        sizes = np.diff(lists.offsets.to_numpy()) if not lists.null_count else pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        field = lambda n, t: inner.field(n).to_numpy(zero_copy_only=False).astype(t, copy=False)
+        return cls(np.repeat(owner, sizes), field("d", np.float64), field("v", np.int64), field("vb", np.int64), field("fresh", np.int64))
+
+    def cells(self, owners: int) -> pa.Array:
+        """As list cells of the owners ``0 .. owners-1``; entries must be in the order of their owners."""
+        inner = pa.StructArray.from_arrays(
+            [pa.array(self.d), pa.array(self.v, pa.int64()), pa.array(self.vb.astype(np.int32)), pa.array(self.fresh.astype(np.int32))], fields=list(_ENTRY_ARROW)
         )
-        return pa.table({"u": pa.array(ids, pa.int64()), "ub": homes, "nb": _lists(entries, who.shape[1], len(ids))})
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(self.owner, np.arange(owners + 1)).astype(np.int32)), inner)
 
-    found = blocks.groupBy("block").applyInArrow(search, f"u bigint, ub array<int>, nb array<{_NEIGHBOUR}>")
-    merged = F.array_sort(F.array_distinct(F.flatten(F.collect_list("nb"))))
-    return found.groupBy("u").agg(F.first("ub").alias("ub"), F.slice(merged, 1, k).alias("nb"))
 
+def _listed(at: int, homes: np.ndarray, ids: np.ndarray, entries: _Entries, rows: np.ndarray) -> pa.Table:
+    """The lists of the vectors ``rows`` for the homes of these."""
+    lists = entries.cells(len(ids)).take(pa.array(rows))
+    return pa.table({"blk": pa.array(homes[rows].astype(np.int32)), "at": pa.array(np.full(len(rows), at, np.int32)), "u": pa.array(ids[rows], pa.int64()), "nb": lists})
 
-def _edges(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The edges as ``c, cb, d, x, xb, fresh``: from each vector to its neighbours, and back."""
-    edge = graph.select("u", "ub", F.explode("nb").alias("e"))
-    forward = edge.select(F.col("u").alias("c"), F.col("ub").alias("cb"), F.col("e.d").alias("d"), F.col("e.v").alias("x"), F.col("e.vb").alias("xb"), "e.fresh")
-    back = edge.select(F.col("e.v").alias("c"), F.col("e.vb").alias("cb"), F.col("e.d").alias("d"), F.col("u").alias("x"), F.col("ub").alias("xb"), "e.fresh")
-    return forward, back
 
+def _leaves(unit: np.ndarray, leaf: int, r: np.random.Generator) -> Iterator[np.ndarray]:
+    """Rows halved at the median of random projections, equal ones at random, down to ``leaf`` rows each."""
+    todo = [r.permutation(len(unit))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= leaf:
+            yield np.sort(rows)
+        else:
+            order = rows[np.argsort(unit[rows] @ r.normal(size=unit.shape[1]).astype(np.float32), kind="stable")]
+            todo += [order[: len(rows) // 2], order[len(rows) // 2 :]]
 
-def _introductions(graph: DataFrame, first: bool, reverse: int) -> DataFrame:
-    """Pairs ``blk, x1, b1, x2, b2`` of vectors that share a neighbour, never shared a block, one edge at least being fresh.
 
-    They are compared in ``blk``, the smaller of their first blocks, so that all pairs
-    between two blocks meet in one of them and the vectors travel one way only.
+def _first_lists(k: int, leaf: int, trees: int):
+    """The start of a block: each vector's nearest mates in ``trees`` leaves of random projections."""
 
-    The first round looks at all edges in both directions.  Later rounds look at the
-    fresh edges in both directions and, around their ends, at the older edges of the
-    bucketed graph, so a round moves what the one before it changed.
-    """
-    forward, back = _edges(graph)
-    if first:  # all edges lie inside blocks, so only a vector of several blocks can link strangers
-        around = forward.unionByName(back).filter(F.size("cb") > 1).drop("cb")
-    else:
-        fresh = forward.unionByName(back).filter(F.col("fresh") == 1).drop("cb")
-        touched = fresh.select(F.col("c").alias("u")).distinct()
-        older, _ = _edges(graph.join(touched, "u", "left_semi"))
-        around = fresh.unionByName(older.filter(F.col("fresh") == 0).drop("cb"))
-    nearest = Window.partitionBy("c").orderBy("d", "x")
-    around = around.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= reverse)
-    groups = around.groupBy("c").agg(F.collect_set(F.struct("x", "xb", "fresh")).alias("l")).filter(F.size("l") > 1)
-    a, b = F.col("a"), F.col("b")
-    pairs = (
-        groups.select("l", F.explode("l").alias("a"))
-        .select("a", F.explode("l").alias("b"))
-        .filter((a["x"] < b["x"]) & ((a["fresh"] == 1) | (b["fresh"] == 1)) & ~F.arrays_overlap(a["xb"], b["xb"]))
+    def start(table: pa.Table) -> pa.Table:
+        ids, keep = np.unique(table.column("vec_id").to_numpy(), return_index=True)
+        at, homes = table.column("blk")[0].as_py(), table.column("home").to_numpy()[keep].astype(np.int64)
+        unit = _unit(_floats(table.column("vector").take(pa.array(keep))))
+        light, r = unit.astype(np.float32), np.random.default_rng(at)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for _ in range(trees):
+            for rows in _leaves(light, leaf, r):
+                if len(rows) > 1:
+                    sims = light[rows] @ light[rows].T
+                    np.fill_diagonal(sims, -np.inf)
+                    top = np.argsort(-sims.round(6), axis=1, kind="stable")[:, : min(k, len(rows) - 1)]
+                    a.append(np.repeat(rows, top.shape[1]))
+                    b.append(rows[top.ravel()])
+        pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+        found = _Entries(pair[0], _distance(unit, pair[0], pair[1]), ids[pair[1]], homes[pair[1]], np.ones(pair.shape[1], np.int64)).best(k)
+        return _listed(at, homes, ids, found, np.arange(len(ids)))
+
+    return start
+
+
+def _merged(k: int):
+    """A block's own lists and what other blocks found for its vectors, as one list each."""
+
+    def merge(own: pa.Table, offers: pa.Table) -> pa.Table:
+        ids = own.column("u").to_numpy()
+        if not len(offers) or not len(ids):
+            return own.select(["blk", "u", "nb"])
+        order = np.argsort(ids)
+        to = order[np.searchsorted(ids, offers.column("u").to_numpy(), sorter=order)]
+        both = _Entries.of(np.arange(len(ids)), _flat(own.column("nb"))).plus(_Entries.of(to, _flat(offers.column("nb")))).best(k)
+        return pa.table({"blk": own.column("blk"), "u": own.column("u"), "nb": both.cells(len(ids))})
+
+    return merge
+
+
+def _picked(wanted: pa.Table, residents: pa.Table) -> pa.Table:
+    """The vectors of a block that other blocks ask for, one row per block and vector, unless the vector visits that block anyhow."""
+    schema = pa.schema([("blk", pa.int32()), ("kind", pa.int32()), ("u", pa.int64()), ("ub", pa.int32()), ("worst", pa.float64()), ("vector", pa.binary()), ("nb", pa.list_(_ENTRY_ARROW))])
+    if not len(wanted) or not len(residents):
+        return schema.empty_table()
+    ids, keep = np.unique(residents.column("vec_id").to_numpy(), return_index=True)
+    x, to = wanted.column("x").to_numpy(), wanted.column("to").to_numpy().astype(np.int64)
+    worst = wanted.column("worst").to_numpy()
+    order = np.lexsort((worst, to, x))
+    x, to, worst = x[order], to[order], worst[order]
+    last = np.ones(len(x), bool)  # of several wishes that with the tightest bound
+    last[:-1] = (x[1:] != x[:-1]) | (to[1:] != to[:-1])
+    first = np.flatnonzero(np.concatenate([[True], last[:-1]]))
+    x, to, worst = x[first], to[first], worst[first]
+    row = np.searchsorted(ids, x)
+    visits = _flat(residents.column("visits").take(pa.array(keep)))
+    there = np.repeat(np.arange(len(ids)), np.diff(visits.offsets.to_numpy())) * (1 << 31) + visits.flatten().to_numpy().astype(np.int64)
+    send = np.flatnonzero((ids[np.minimum(row, len(ids) - 1)] == x) & ~np.isin(row * (1 << 31) + to, there))
+    n = len(send)
+    return pa.table(
+        [
+            pa.array(to[send].astype(np.int32)), pa.array(np.full(n, _SHIPPED, np.int32)), pa.array(x[send], pa.int64()), pa.array(np.full(n, residents.column("blk")[0].as_py(), np.int32)),
+            pa.array(worst[send]), residents.column("vector").take(pa.array(keep[row[send]])), pa.nulls(n, pa.list_(_ENTRY_ARROW)),
+        ],
+        schema=schema,
+    )
+
+
+def _introduced(k: int, rest: int):
+    """One round in a block: every vector at home introduces its neighbours and those that point at it, ``rest`` of these at a time, to each other."""
+
+    def groups(fwd: _Entries, place: np.ndarray, back: np.ndarray, member: np.ndarray, fresh: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of members (a vector, its neighbours, a slice of those that point at it; -1: none), and whether each came with a fresh edge."""
+        key, first = np.unique(np.concatenate([fwd.owner * n + place, back * n + member]), return_index=True)
+        old = first < len(place)
+        o, m = key // n, key % n
+        new = np.zeros(len(key), bool)
+        np.logical_or.at(new, np.searchsorted(key, fwd.owner * n + place), fwd.fresh > 0)
+        np.logical_or.at(new, np.searchsorted(key, back * n + member), fresh > 0)
+        heads = np.unique(o)
+        slices = np.maximum(1, -(-np.bincount(o[~old], minlength=n) // rest))[heads]
+        base = np.cumsum(slices) - slices
+        table = np.full((int(slices.sum()), 1 + k + rest), -1, np.int64)
+        marks = np.zeros(table.shape, bool)
+        table[:, 0] = np.repeat(heads, slices)
+        slot = np.searchsorted(heads, o)
+        fo, at = slot[old], 1 + _starts(o[old])
+        head, head_new = np.full((len(heads), k), -1, np.int64), np.zeros((len(heads), k), bool)
+        head[fo, at - 1], head_new[fo, at - 1] = m[old], new[old]
+        table[:, 1 : k + 1], marks[:, 1 : k + 1] = np.repeat(head, slices, axis=0), np.repeat(head_new, slices, axis=0)
+        seat = _starts(o[~old])
+        row = base[slot[~old]] + seat // rest
+        table[row, 1 + k + seat % rest], marks[row, 1 + k + seat % rest] = m[~old], new[~old]
+        some = marks.any(axis=1)
+        return table[some], marks[some]
+
+    def join(residents: pa.Table, messages: pa.Table) -> pa.Table:
+        if not len(residents) or not len(messages):
+            return pa.schema([("blk", pa.int32()), ("at", pa.int32()), ("u", pa.int64()), ("nb", pa.list_(_ENTRY_ARROW))]).empty_table()
+        at = residents.column("blk")[0].as_py()
+        kind = messages.column("kind").to_numpy()
+        of = {n: messages.take(pa.array(np.flatnonzero(kind == n))) for n in (_ROW, _POINTED, _SHIPPED)}
+        ids, keep = np.unique(np.concatenate([residents.column("vec_id").to_numpy(), of[_SHIPPED].column("u").to_numpy()]), return_index=True)
+        homes = np.concatenate([residents.column("home").to_numpy(), of[_SHIPPED].column("ub").to_numpy()]).astype(np.int64)[keep]
+        vectors = pa.concat_arrays([_flat(residents.column("vector")), _flat(of[_SHIPPED].column("vector"))]).take(pa.array(keep))
+        unit, n = _unit(_floats(vectors)), len(ids)
+        light, where = unit.astype(np.float32), lambda v: np.searchsorted(ids, v)
+        known = _Entries.of(where(of[_ROW].column("u").to_numpy()), _flat(of[_ROW].column("nb")))
+        pointed = _Entries.of(where(of[_POINTED].column("u").to_numpy()), _flat(of[_POINTED].column("nb")))
+        limit = np.full(n, -np.inf)  # the cosine that a newcomer must reach
+        told = of[_SHIPPED].column("worst").to_numpy()
+        limit[where(of[_SHIPPED].column("u").to_numpy())] = -told
+        full = np.flatnonzero(np.bincount(known.owner, minlength=n) >= k)
+        far = np.full(n, -np.inf)
+        np.maximum.at(far, known.owner, known.d)
+        limit[full] = -far[full]
+        here = lambda e: e.take(np.flatnonzero(ids[np.minimum(where(e.v), n - 1)] == e.v))
+        fwd, pointed = here(known), here(pointed)
+        place = where(fwd.v)
+        local = homes[place] == at
+        back = np.concatenate([place[local], pointed.owner])
+        member = np.concatenate([fwd.owner[local], where(pointed.v)])
+        fresh = np.concatenate([fwd.fresh[local], pointed.fresh])
+        table, marks = groups(fwd, place, back, member, fresh, n)
+        keys = [np.zeros(0, np.int64)]
+        for s in range(0, len(table), 1024):
+            t, f = table[s : s + 1024], marks[s : s + 1024]
+            x = light[t]
+            sims = x @ x.transpose(0, 2, 1)
+            sims[(t < 0)[:, None, :] | ~(f[:, :, None] | f[:, None, :])] = -np.inf
+            sims[t[:, :, None] == t[:, None, :]] = -np.inf
+            g, i, j = np.nonzero((sims >= (limit - 1e-6).astype(np.float32)[t][:, :, None]) & (sims > -np.inf) & (t >= 0)[:, :, None])
+            keys.append(np.unique(t[g, i] * n + t[g, j]))
+        key = np.setdiff1d(np.concatenate(keys), fwd.owner * n + place)
+        a, b = key // n, key % n
+        new = _Entries(a, _distance(unit, a, b), ids[b], homes[b], np.ones(len(a), np.int64))
+        known.fresh[:] = 0
+        lists = known.plus(new).best(k)
+        own = np.sort(where(of[_ROW].column("u").to_numpy()))
+        guests = np.setdiff1d(np.unique(lists.owner), own)
+        return _listed(at, homes, ids, lists, np.concatenate([own, guests]))
+
+    return join
+
+
+def _round(graph: DataFrame, residents: DataFrame, k: int, rest: int) -> DataFrame:
+    """``blk, at, u, nb``: the lists after one round of introductions, still apart by the block ``at`` that found them."""
+    worst = F.when(F.size("nb") >= k, F.element_at("nb", -1)["d"]).otherwise(F.lit(1.0))
+    edge = graph.select("blk", "u", worst.alias("worst"), F.explode("nb").alias("e")).filter(F.col("e.vb") != F.col("blk"))
+    wanted = edge.select(F.col("e.vb").alias("to"), F.col("u").alias("x"), F.col("blk").alias("xb"), "worst").unionByName(
+        edge.select(F.col("blk").alias("to"), F.col("e.v").alias("x"), F.col("e.vb").alias("xb"), F.lit(1.0).alias("worst"))
+    )
+    shipped = wanted.groupBy("xb").cogroup(residents.groupBy("blk")).applyInArrow(_picked, _MESSAGE)
+    nothing = [F.lit(None).cast("int").alias("ub"), F.lit(None).cast("double").alias("worst"), F.lit(None).cast("binary").alias("vector")]
+    pointed = edge.select(
+        F.col("e.vb").alias("blk"), F.lit(_POINTED).alias("kind"), F.col("e.v").alias("u"), *nothing,
+        F.array(F.struct(F.col("e.d").alias("d"), F.col("u").alias("v"), F.col("blk").alias("vb"), F.col("e.fresh").alias("fresh"))).alias("nb"),
     )
-    return pairs.select(
-        F.least(F.element_at(a["xb"], 1), F.element_at(b["xb"], 1)).alias("blk"), a["x"].alias("x1"), a["xb"].alias("b1"), b["x"].alias("x2"), b["xb"].alias("b2")
-    ).distinct()
-
-
-def _compared(pairs: DataFrame, home: DataFrame) -> DataFrame:
-    """``u, e``: both directions of each pair with its distance; vectors (``home``, one row each, or repeated) travel once to each block that asks for them."""
-    wanted = pairs.select("blk", F.explode(F.array("x1", "x2")).alias("vec_id")).distinct()
-    sent = wanted.join(home, "vec_id").select(F.col("blk").alias("to_blk"), "vec_id", "vector")
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("u", pa.int64()), ("e", pa.struct([("d", pa.float64()), ("v", pa.int64()), ("vb", pa.list_(pa.int32())), ("fresh", pa.int32())]))])
-        if not len(left) or not len(right):
-            return schema.empty_table()
-        ids, keep = np.unique(right.column("vec_id").to_numpy(), return_index=True)
-        x = _floats(right.column("vector").take(pa.array(keep))).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        one, two = left.column("x1").to_numpy(), left.column("x2").to_numpy()
-        i, j = np.searchsorted(ids, one), np.searchsorted(ids, two)
-        far = np.concatenate([-np.round(np.einsum("ij,ij->i", x[i[s : s + 65536]], x[j[s : s + 65536]]), 13) for s in range(0, len(i), 65536)])
-        flat = lambda c: pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c
-        entry = lambda v, vb: pa.StructArray.from_arrays([pa.array(far), pa.array(v), vb, pa.array(np.ones(len(far), np.int32))], ["d", "v", "vb", "fresh"])
-        e = pa.concat_arrays([entry(two, flat(left.column("b2"))), entry(one, flat(left.column("b1")))])
-        return pa.table({"u": pa.array(np.concatenate([one, two])), "e": e})
-
-    return pairs.groupBy("blk").cogroup(sent.groupBy("to_blk")).applyInArrow(score, f"u bigint, e {_NEIGHBOUR}")
+    rows = graph.select("blk", F.lit(_ROW).alias("kind"), "u", *nothing, "nb")
+    messages = rows.unionByName(pointed).unionByName(shipped)
+    return residents.groupBy("blk").cogroup(messages.groupBy("blk")).applyInArrow(_introduced(k, rest), _LISTS)
+
+
+def _copies_apart(formed: DataFrame, k: int, copies: int) -> tuple[DataFrame, DataFrame | None]:
+    """Vectors that take part, and the lists ``u, nb`` of the others: of a vector with very many exact copies only the
+    ``k + 1`` smallest ids take part, since these are the nearest of all the others.
+
+    Very many are more than ``copies`` and more than a 65,536th of all vectors, so the
+    groups that are told to every task are 65,536 at the most.
+    """
+    least = max(copies, formed.count() // 65_536)
+    keyed = formed.withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64(F.lit(1), "vector"))
+    group = ["signature", "dim", "h1", "h2"]
+    hot = cut_lineage(keyed.groupBy(*group).count().filter(F.col("count") > least).drop("count"))
+    if hot.isEmpty():
+        return formed, None
+    sound = F.forall("vector", lambda e: F.coalesce(F.abs(e) < F.lit(float("inf")), F.lit(False))) & F.exists("vector", lambda e: e != 0)
+    rank = F.dense_rank().over(Window.partitionBy(*group).orderBy("vec_id"))
+    firsts = keyed.join(F.broadcast(hot), group).filter(sound).withColumn("rank", rank).filter(F.col("rank") <= k + 1)
+    firsts = cut_lineage(firsts.groupBy(*group).agg(F.array_sort(F.collect_set("vec_id")).alias("firsts")))
+    marked = keyed.join(F.broadcast(firsts), group, "left")
+    apart = F.coalesce(~F.array_contains("firsts", F.col("vec_id")), F.lit(False))
+    entry = F.transform("firsts", lambda v: F.struct(F.lit(-1.0).alias("d"), v.alias("v"), F.lit(None).cast("int").alias("vb"), F.lit(0).alias("fresh")))
+    others = marked.filter(apart).select(F.col("vec_id").alias("u"), F.slice(entry, 1, k).alias("nb"))
+    return marked.filter(~apart).select("vec_id", "signature", "dim", "vector"), others
 
 
 def neighbour_graph(
-    vectors: DataFrame, id_col: str = "vec_id", k: int = 8, rounds: int = 4, delta: float = 0.002, reverse: int = 24, cells: dict | None = None, **fit: int
+    vectors: DataFrame, id_col: str = "vec_id", k: int = 10, rounds: int = 8, delta: float = 0.002, leaf: int = 32, trees: int = 3, rest: int = 12,
+    copies: int = 1024, cells: dict | None = None, database: str | None = None, **fit: int,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(graph, blocks)``: ``graph`` has ``u, ub, nb`` with the ``k`` nearest of each vector, nearest first.
+    """``(graph, residents)``: ``graph`` has ``u, nb`` with the ``k`` nearest of each vector, nearest first.
 
     Takes part: a vector that is not null, has ``dim`` finite elements and is not
     all zero, of a row with id, signature and dim.  Vectors are compared within
     one signature and dim.  Repeated rows count once.  ``rounds`` bounds the
     rounds; they end earlier once fewer than ``delta`` of all entries are new.
+    A vector that many point at introduces all of them, in slices of ``rest``.
     An empty table gives an empty graph, a lone vector an empty list.
+
+    ``trees`` must be two at least: the leaves of one alone have no links between them.
+
+    Scratch tables lie in ``database``; without one they are dropped at the end, and
+    ``residents`` (``blk, vec_id, home, visits, vector``) is placed anew when read.
     """
-    cells = fit_cells(vectors, id_col, **fit) if cells is None else cells
-    blocks = assign_blocks(vectors, cells, id_col)
     spark = vectors.sparkSession
-    scratch, buckets = scratch_database(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    graph, name = write_bucketed(_first_graph(blocks, k), scratch, "u", buckets)
-    home, home_name, size = None, "", graph.count()
-    for number in range(rounds):
-        pairs = cut_lineage(_introductions(graph, number == 0, reverse))
-        if pairs.isEmpty():
-            break
-        if home is None:  # every vector once, so that no round shuffles the vectors again
-            own = blocks.filter(F.col("block") == F.element_at("blocks", 1)).select("vec_id", "vector")
-            home, home_name = write_bucketed(own, scratch, "vec_id", buckets)
-        rank = Window.partitionBy("u").orderBy("e.d", "e.v")
-        offers = _compared(pairs, home).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
-        offers = offers.groupBy("u").agg(F.collect_list("e").alias("more"))
-        old = F.transform("nb", lambda e: F.struct(e["d"].alias("d"), e["v"].alias("v"), e["vb"].alias("vb"), F.lit(0).alias("fresh")))
-        known = F.transform("nb", lambda e: e["v"])
-        more = F.filter(F.coalesce("more", F.array().cast(f"array<{_NEIGHBOUR}>")), lambda e: ~F.array_contains(known, e["v"]))
-        better = graph.join(offers, "u", "left").select("u", "ub", F.slice(F.array_sort(F.concat(old, more)), 1, k).alias("nb"))
-        graph, former = write_bucketed(better, scratch, "u", buckets)
-        spark.sql(f"DROP TABLE {name}")
-        name = former
-        changed = graph.select(F.sum(F.aggregate("nb", F.lit(0), lambda s, e: s + e["fresh"])).alias("n")).first().n or 0
-        if changed <= delta * size * k:
-            break
-    if home is not None:
-        spark.sql(f"DROP TABLE {home_name}")
-    return graph, blocks
+    formed, others = _copies_apart(_well_formed(vectors, id_col), k, copies)
+    cells = fit_cells(formed, **fit) if cells is None else cells
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with scratch_database(spark, database) as scratch:
+        residents, _ = write_bucketed(assign_blocks(formed, cells).repartition(buckets, "blk"), scratch, "blk", buckets)
+
+        def kept(lists: DataFrame) -> tuple[DataFrame, str]:
+            """Lists of several blocks as the graph, bucketed like the vectors."""
+            raw, raw_name = write_bucketed(lists, scratch, "at", buckets)
+            own, offers = raw.filter(F.col("at") == F.col("blk")), raw.filter(F.col("at") != F.col("blk"))
+            merged = own.groupBy("at").cogroup(offers.groupBy("blk")).applyInArrow(_merged(k), f"blk int, u bigint, nb array<{_ENTRY}>")
+            graph, name = write_bucketed(merged, scratch, "blk", buckets)
+            spark.sql(f"DROP TABLE {raw_name}")
+            return graph, name
+
+        graph, name = kept(residents.groupBy("blk").applyInArrow(_first_lists(k, leaf, trees), _LISTS))
+        for _ in range(rounds):
+            better, later = kept(_round(graph, residents, k, rest))
+            spark.sql(f"DROP TABLE {name}")
+            graph, name = better, later
+            n = graph.agg(F.sum(F.aggregate("nb", F.lit(0), lambda s, e: s + e["fresh"])).alias("new"), F.sum(F.size("nb")).alias("all")).first()
+            if (n["new"] or 0) <= delta * (n["all"] or 0):
+                break
+        found = graph.select("u", "nb")
+        if database is None:
+            found, residents = cut_lineage(found), assign_blocks(formed, cells)
+    return found if others is None else found.unionByName(others), residents
 
 
 def nearest_pairs(graph: DataFrame, k: int = 5) -> DataFrame:
@@ -370,7 +566,7 @@ def nearest_pairs(graph: DataFrame, k: int = 5) -> DataFrame:
 
 
 def graph_search(
-    graph: DataFrame, blocks: DataFrame, queries: DataFrame, cells: dict, k: int = 5, beam: int = 16, hops: int = 8, entries: int = 160, reverse: int = 16
+    graph: DataFrame, residents: DataFrame, queries: DataFrame, cells: dict, k: int = 5, beam: int = 16, hops: int = 8, entries: int = 160, reverse: int = 16
 ) -> DataFrame:
     """The ``k`` nearest indexed vectors of every query by greedy search along the graph: ``query_id, rank, vec_id, cosine``.
 
@@ -380,11 +576,11 @@ def graph_search(
     vectors, in both directions (the ``reverse`` nearest that point at a vector),
     until none is new, ``hops`` times at most.
     """
-    spread = blocks.groupBy("block").applyInArrow(_spread(entries), "block int, v bigint, vv binary")
-    asked = assign_blocks(queries, cells).select("block", F.col("vec_id").alias("q"), F.col("vector").alias("qv"))
+    spread = residents.groupBy("blk").applyInArrow(_spread(entries), "blk int, v bigint, vv binary")
+    asked = assign_blocks(queries, cells).select("blk", F.col("vec_id").alias("q"), F.col("vector").alias("qv"))
     asked = cut_lineage(asked.distinct())
     query = asked.dropDuplicates(["q"]).select("q", "qv")
-    home = blocks.filter(F.col("block") == F.element_at("blocks", 1)).select(F.col("vec_id").alias("v"), F.col("vector").alias("vv")).dropDuplicates(["v"])
+    home = residents.filter(F.col("blk") == F.col("home")).select(F.col("vec_id").alias("v"), F.col("vector").alias("vv")).dropDuplicates(["v"])
     best = Window.partitionBy("q").orderBy("d", "v")
     edge = graph.select("u", F.explode("nb").alias("e")).select("u", F.col("e.d").alias("d"), F.col("e.v").alias("v"))
     pointing = Window.partitionBy("v").orderBy("d", "u")
@@ -399,7 +595,7 @@ def graph_search(
         one = rows.groupBy("q", "v").agg(F.min("d").alias("d"), F.max("seen").alias("seen"))
         return one.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= beam).drop("rank")
 
-    state = cut_lineage(kept(scored(asked.join(spread, "block")).withColumn("seen", F.lit(0))))
+    state = cut_lineage(kept(scored(asked.join(spread, "blk")).withColumn("seen", F.lit(0))))
     for _ in range(hops):
         open_ = state.filter(F.col("seen") == 0)
         if open_.isEmpty():
@@ -425,7 +621,7 @@ def _spread(count: int):
             picked.append(i)
             close = np.maximum(close, x @ x[i])
         rows = keep[np.array(picked)]
-        return pa.table({"block": table.column("block").take(pa.array(rows)), "v": pa.array(ids[picked]), "vv": table.column("vector").take(pa.array(rows))})
+        return pa.table({"blk": table.column("blk").take(pa.array(rows)), "v": pa.array(ids[picked]), "vv": table.column("vector").take(pa.array(rows))})
 
     return choose
 
@@ -447,4 +643,3 @@ def _score_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def usable_queries(vectors: DataFrame, every: int = 50, id_col: str = "vec_id") -> DataFrame:
     return vectors.filter(F.col(id_col) % every == 0)
-

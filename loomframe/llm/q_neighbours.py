@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomframe.llm.neighbours import fit_cells, graph_search, nearest_pairs, neighbour_graph, usable_queries
 from loomframe.llm.registry import query
+from loomframe.session import scratch_database
 from loomframe.tables import table
 
 
@@ -20,5 +21,6 @@ def p4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy search for every vector whose id is divisible by 50, against all vectors."""
     vectors = table(spark, sf_dir, "embedding_cache")
     cells = fit_cells(vectors)
-    graph, blocks = neighbour_graph(vectors, cells=cells)
-    return graph_search(graph, blocks, usable_queries(vectors), cells)
+    with scratch_database(spark) as database:
+        graph, residents = neighbour_graph(vectors, cells=cells, database=database)
+        return graph_search(graph, residents, usable_queries(vectors), cells)

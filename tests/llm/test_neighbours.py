@@ -39,12 +39,31 @@ def test_recall_over_many_cells(spark):
     assert len(got & want) / len(want) > 0.95
 
 
+def recall(spark, x, **parameters):
+    graph, _ = neighbour_graph(frame(spark, x), **parameters)
+    got, want = {tuple(r) for r in nearest_pairs(graph).collect()}, unordered(brute(x))
+    return len(got & want) / len(want)
+
+
 def test_cells_larger_than_a_block_are_split_and_healed(spark):
-    x = clustered(900, groups=30)
-    graph, _ = neighbour_graph(frame(spark, x), cell_rows=450, block_rows=150, rounds=6, delta=0.0)
-    got = {tuple(r) for r in nearest_pairs(graph).collect()}
-    want = unordered(brute(x))
-    assert len(got & want) / len(want) > 0.9
+    x = clustered(2400, groups=60)
+    assert recall(spark, x, cell_rows=2400, block_rows=100) > 0.95
+
+
+def test_the_rounds_make_the_graph_not_the_start(spark):
+    x = clustered(1500)
+    assert recall(spark, x, trees=2, rounds=0) < 0.7
+    assert recall(spark, x, trees=2) > 0.95
+
+
+def test_very_many_copies_are_answered_by_their_smallest_ids(spark):
+    x = clustered(600)
+    x[np.random.default_rng(3).permutation(600)[:200]] = x[5]
+    graph, _ = neighbour_graph(frame(spark, x), copies=50)
+    got, want = {tuple(r) for r in nearest_pairs(graph).collect()}, unordered(brute(x))
+    assert len(got & want) / len(want) > 0.97
+    same = {i + 1 for i in range(600) if (x[i] == x[5]).all()}
+    assert {p for p in want if set(p) <= same} == {p for p in got if set(p) <= same}
 
 
 def test_ties_and_copies_go_to_the_smaller_id(spark):
