@@ -36,6 +36,9 @@ _ENTRY_ARROW = pa.struct([("d", pa.float64()), ("v", pa.int64()), ("vb", pa.int3
 _PLACED = "blk int, vec_id bigint, home int, visits array<int>, vector binary"
 _LISTS = f"blk int, at int, u bigint, nb array<{_ENTRY}>"
 _MESSAGE = f"blk int, kind int, u bigint, ub int, worst double, vector binary, nb array<{_ENTRY}>"
+_MESSAGE_ARROW = pa.schema(
+    [("blk", pa.int32()), ("kind", pa.int32()), ("u", pa.int64()), ("ub", pa.int32()), ("worst", pa.float64()), ("vector", pa.binary()), ("nb", pa.list_(_ENTRY_ARROW))]
+)
 #: Kinds of message to a block: a row of its graph, an edge from elsewhere to one of its vectors, a vector from elsewhere.
 _ROW, _POINTED, _SHIPPED = 0, 1, 2
 
@@ -364,32 +367,36 @@ def _merged(k: int):
     return merge
 
 
-def _picked(wanted: pa.Table, residents: pa.Table) -> pa.Table:
-    """The vectors of a block that other blocks ask for, one row per block and vector, unless the vector visits that block anyhow."""
-    schema = pa.schema([("blk", pa.int32()), ("kind", pa.int32()), ("u", pa.int64()), ("ub", pa.int32()), ("worst", pa.float64()), ("vector", pa.binary()), ("nb", pa.list_(_ENTRY_ARROW))])
-    if not len(wanted) or not len(residents):
-        return schema.empty_table()
+def _picked(asked: pa.Table, residents: pa.Table) -> pa.Table:
+    """The vectors of a block that other blocks ask for, one row per block and vector, unless the vector visits that block anyhow; and the edges that came with the wishes.
+
+    ``asked`` has the wishes and, with ``to`` null, the farthest present neighbour of each vector at home.
+    """
+    if not len(asked) or not len(residents):
+        return _MESSAGE_ARROW.empty_table()
+    at, given = residents.column("blk")[0].as_py(), asked.column("to").is_valid()
+    wanted, lists = asked.filter(given), asked.filter(pc.invert(given))
     ids, keep = np.unique(residents.column("vec_id").to_numpy(), return_index=True)
-    x, to = wanted.column("x").to_numpy(), wanted.column("to").to_numpy().astype(np.int64)
-    worst = wanted.column("worst").to_numpy()
-    order = np.lexsort((worst, to, x))
-    x, to, worst = x[order], to[order], worst[order]
-    last = np.ones(len(x), bool)  # of several wishes that with the tightest bound
-    last[:-1] = (x[1:] != x[:-1]) | (to[1:] != to[:-1])
-    first = np.flatnonzero(np.concatenate([[True], last[:-1]]))
-    x, to, worst = x[first], to[first], worst[first]
-    row = np.searchsorted(ids, x)
+    worst = np.ones(len(ids))
+    worst[np.searchsorted(ids, lists.column("x").to_numpy())] = lists.column("worst").to_numpy()
+    row, to = np.searchsorted(ids, wanted.column("x").to_numpy()), wanted.column("to").to_numpy().astype(np.int64)
     visits = _flat(residents.column("visits").take(pa.array(keep)))
     there = np.repeat(np.arange(len(ids)), np.diff(visits.offsets.to_numpy())) * (1 << 31) + visits.flatten().to_numpy().astype(np.int64)
-    send = np.flatnonzero((ids[np.minimum(row, len(ids) - 1)] == x) & ~np.isin(row * (1 << 31) + to, there))
-    n = len(send)
-    return pa.table(
-        [
-            pa.array(to[send].astype(np.int32)), pa.array(np.full(n, _SHIPPED, np.int32)), pa.array(x[send], pa.int64()), pa.array(np.full(n, residents.column("blk")[0].as_py(), np.int32)),
-            pa.array(worst[send]), residents.column("vector").take(pa.array(keep[row[send]])), pa.nulls(n, pa.list_(_ENTRY_ARROW)),
-        ],
-        schema=schema,
-    )
+    key = np.setdiff1d(row * (1 << 31) + to, there)
+    row, to = key >> 31, key & ((1 << 31) - 1)
+    n = len(key)
+    sent = [
+        pa.array(to.astype(np.int32)), pa.array(np.full(n, _SHIPPED, np.int32)), pa.array(ids[row], pa.int64()), pa.array(np.full(n, at, np.int32)),
+        pa.array(worst[row]), _flat(residents.column("vector").take(pa.array(keep[row]))), pa.nulls(n, pa.list_(_ENTRY_ARROW)),
+    ]
+    edges = wanted.filter(wanted.column("v").is_valid())
+    m = len(edges)
+    entry = pa.StructArray.from_arrays([_flat(edges.column(c)) for c in ("d", "x", "xb", "fresh")], fields=list(_ENTRY_ARROW))
+    told = [
+        _flat(edges.column("to")), pa.array(np.full(m, _POINTED, np.int32)), _flat(edges.column("v")), pa.nulls(m, pa.int32()), pa.nulls(m, pa.float64()),
+        pa.nulls(m, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32)), entry),
+    ]
+    return pa.concat_tables([pa.table(sent, schema=_MESSAGE_ARROW), pa.table(told, schema=_MESSAGE_ARROW)])
 
 
 def _introduced(k: int, rest: int):
@@ -469,21 +476,29 @@ def _introduced(k: int, rest: int):
     return join
 
 
-def _round(graph: DataFrame, residents: DataFrame, k: int, rest: int) -> DataFrame:
-    """``blk, at, u, nb``: the lists after one round of introductions, still apart by the block ``at`` that found them."""
-    worst = F.when(F.size("nb") >= k, F.element_at("nb", -1)["d"]).otherwise(F.lit(1.0))
-    edge = graph.select("blk", "u", worst.alias("worst"), F.explode("nb").alias("e")).filter(F.col("e.vb") != F.col("blk"))
-    wanted = edge.select(F.col("e.vb").alias("to"), F.col("u").alias("x"), F.col("blk").alias("xb"), "worst").unionByName(
-        edge.select(F.col("blk").alias("to"), F.col("e.v").alias("x"), F.col("e.vb").alias("xb"), F.lit(1.0).alias("worst"))
+def _round(graph: DataFrame, residents: DataFrame, k: int, rest: int, buckets: int, first: bool) -> DataFrame:
+    """``blk, at, u, nb``: the lists after one round of introductions, still apart by the block ``at`` that found them.
+
+    A vector with a fresh edge from or to it has somebody to introduce.  Only what
+    these need from other blocks travels: the vectors at the far ends of their edges.
+    The union with rows bucketed alike keeps their buckets, so the graph stays where it is.
+    """
+    edge = graph.select("blk", "u", F.explode("nb").alias("e"))
+    across = edge.filter(F.col("e.vb") != F.col("blk"))
+    nobody = [F.lit(None).cast("bigint").alias("v"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("int").alias("fresh")]
+    wanted = across.select(F.col("e.vb").alias("xb"), F.col("blk").alias("to"), F.col("e.v").alias("x"), F.col("u").alias("host"), *nobody).unionByName(
+        across.select(F.col("blk").alias("xb"), F.col("e.vb").alias("to"), F.col("u").alias("x"), F.col("e.v").alias("host"), "e.v", "e.d", "e.fresh")
     )
-    shipped = wanted.groupBy("xb").cogroup(residents.groupBy("blk")).applyInArrow(_picked, _MESSAGE)
-    nothing = [F.lit(None).cast("int").alias("ub"), F.lit(None).cast("double").alias("worst"), F.lit(None).cast("binary").alias("vector")]
-    pointed = edge.select(
-        F.col("e.vb").alias("blk"), F.lit(_POINTED).alias("kind"), F.col("e.v").alias("u"), *nothing,
-        F.array(F.struct(F.col("e.d").alias("d"), F.col("u").alias("v"), F.col("blk").alias("vb"), F.col("e.fresh").alias("fresh"))).alias("nb"),
+    if not first:  # at first every edge is fresh
+        hosts = edge.filter(F.col("e.fresh") == 1).select(F.explode(F.array("u", "e.v")).alias("host")).distinct()
+        wanted = wanted.join(hosts, "host", "left_semi")
+    worst = F.when(F.size("nb") >= k, F.element_at("nb", -1)["d"]).otherwise(F.lit(1.0))
+    asked = wanted.drop("host").repartition(buckets, "xb").unionByName(
+        graph.select(F.col("blk").alias("xb"), F.col("u").alias("x"), worst.alias("worst")), allowMissingColumns=True
     )
-    rows = graph.select("blk", F.lit(_ROW).alias("kind"), "u", *nothing, "nb")
-    messages = rows.unionByName(pointed).unionByName(shipped)
+    messages = asked.groupBy("xb").cogroup(residents.groupBy("blk")).applyInArrow(_picked, _MESSAGE)
+    rows = graph.select("blk", F.lit(_ROW).alias("kind"), "u", "nb")
+    messages = messages.repartition(buckets, "blk").unionByName(rows, allowMissingColumns=True)
     return residents.groupBy("blk").cogroup(messages.groupBy("blk")).applyInArrow(_introduced(k, rest), _LISTS)
 
 
@@ -546,8 +561,8 @@ def neighbour_graph(
             return graph, name
 
         graph, name = kept(residents.groupBy("blk").applyInArrow(_first_lists(k, leaf, trees), _LISTS))
-        for _ in range(rounds):
-            better, later = kept(_round(graph, residents, k, rest))
+        for number in range(rounds):
+            better, later = kept(_round(graph, residents, k, rest, buckets, number == 0))
             spark.sql(f"DROP TABLE {name}")
             graph, name = better, later
             n = graph.agg(F.sum(F.aggregate("nb", F.lit(0), lambda s, e: s + e["fresh"])).alias("new"), F.sum(F.size("nb")).alias("all")).first()
