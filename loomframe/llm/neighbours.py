@@ -174,7 +174,7 @@ def _laid_out(formed: DataFrame, cells: dict[tuple[str, int], Cells], block_rows
 
 
 def fit_cells(
-    vectors: DataFrame, id_col: str = "vec_id", cell_rows: int = 1000, sample_rows: int = 65_536, block_rows: int = 8192, margin: float = 0.05
+    vectors: DataFrame, id_col: str = "vec_id", cell_rows: int = 400, sample_rows: int = 65_536, block_rows: int = 8192, margin: float = 0.05
 ) -> dict[tuple[str, int], Cells]:
     """Centres per (signature, dim) by spherical k-means on a sample chosen by a hash of the id, and how cells are split.
 
@@ -188,9 +188,11 @@ def fit_cells(
     whole = sum(counts.values())
     wanted = {key: max(1, n // cell_rows) for key, n in counts.items()}
     rates = [(s, d, int(1_000_000 * min(1.0, 64 * wanted[(s, d)] / n, sample_rows / whole)) + 1) for (s, d), n in counts.items()]
+    draw, most = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)), max(rate for _, _, rate in rates)
     sample = (
-        formed.join(formed.sparkSession.createDataFrame(rates, "signature string, dim int, rate int"), ["signature", "dim"])
-        .filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < F.col("rate"))
+        formed.filter(draw < most)
+        .join(F.broadcast(formed.sparkSession.createDataFrame(rates, "signature string, dim int, rate int")), ["signature", "dim"])
+        .filter(draw < F.col("rate"))
         .select("signature", "dim", "vec_id", "vector")
         .toArrow()
         .combine_chunks()
