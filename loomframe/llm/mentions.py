@@ -11,7 +11,9 @@ likelihood of labelled sentences, which ``mention_training`` writes.
 
 from __future__ import annotations
 
+import base64
 import bisect
+import functools
 import math
 import random
 import re
@@ -29,27 +31,91 @@ KINDS = ("person", "email", "phone", "identity", "address")
 Span = tuple[int, int, str, str]
 
 _UP = r"[\p{Lu}]"
-_NAME = rf"(?:{_UP}['’])?{_UP}\p{{Ll}}+(?:['’\-]?{_UP}\p{{Ll}}+)*"
-_CAPS = rf"(?:{_UP}['’])?{_UP}[\p{{Lu}}]+(?:-[\p{{Lu}}]+)*"
-_INITIAL = rf"{_UP}\."
-_OF = r"(?:van der|van den|van|von der|von|de la|de|del|di|da|bin|al|Van der|Van Der|VAN DER|Von|De)"
-_LOW = r"[\p{Ll}]{2,}(?:-[\p{Ll}]+)*"
-_SMALL = rf"(?:{_LOW}|[\p{{Ll}}]\.)(?: [\p{{Ll}}]\.)?(?: {_OF})? {_LOW}"
-
-#: Words before or after which a name in small letters is looked for.
-_BEFORE_NAME = r"(?i:tell|reported by|reviewer|ping|paired with|ask|paket an|anruf von|dr\.?|c/o|contact|attn|signed,|says [^,\n]{6,40},)"
-_AFTER_NAME = r"(?i:wrote the|brought the|prefers|put it)"
-
-_PERSON = [
-    ("cap", regex.compile(rf"(?<![\p{{L}}\p{{N}}@.'’-])(?:{_NAME}|{_INITIAL})(?: {_INITIAL})?(?: {_OF})? {_NAME}(?![\p{{L}}\p{{N}}@])", regex.V1)),
-    ("comma", regex.compile(rf"(?<![\p{{L}}\p{{N}}@.'’-])(?:{_OF} )?{_NAME}, (?:{_NAME}|{_INITIAL})(?: {_INITIAL})?(?![\p{{L}}\p{{N}}@])", regex.V1)),
-    ("caps", regex.compile(rf"(?<![\p{{L}}\p{{N}}@.'’-])(?:{_CAPS}|{_INITIAL})(?: {_INITIAL})?(?: {_OF})? {_CAPS}(?![\p{{L}}\p{{N}}@])", regex.V1)),
-    ("commacaps", regex.compile(rf"(?<![\p{{L}}\p{{N}}@.'’-]){_CAPS}, (?:{_CAPS}|{_INITIAL})(?: {_INITIAL})?(?![\p{{L}}\p{{N}}@])", regex.V1)),
-    ("low", regex.compile(rf"(?:(?<=\b{_BEFORE_NAME} )|(?<=name=)|(?<=\| )|(?<=\d and )){_SMALL}(?![\p{{L}}\p{{N}}@])", regex.V1)),
-    ("low", regex.compile(rf"(?<![\p{{L}}\p{{N}}@.'’-]){_SMALL}(?= {_AFTER_NAME}|['’]s idea| on the )", regex.V1)),
-    ("commalow", regex.compile(rf"(?:(?<=\b{_BEFORE_NAME} )|(?<=name=)|(?<=\| )|(?<=\d and )){_LOW}, (?:{_LOW}|[\p{{Ll}}]\.)(?![\p{{L}}\p{{N}}@])", regex.V1)),
-    ("hangul", regex.compile(r"(?<![\p{Hangul}])[\p{Hangul}]{2,4}(?= ?(?:씨|님|담당자|귀하|께서))|(?<=(?:받는 사람|담당자|성명|이름:?) )[\p{Hangul}]{2,4}(?![\p{Hangul}])", regex.V1)),
+
+#: A public vocabulary in which the frequent words of many languages are single tokens, in the order of their frequency.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+_WORD = re.compile(r"[^\W\d_]+(?:['’\-](?!s\b)[^\W\d_]+)*")
+_PARTICLES = {w: "P" for w in "van von de del di da bin al ten".split()} | {w: "D" for w in "der den la los".split()}
+#: Forms of names over the classes of words: T capitalised, C so and frequent, U in capitals, V so and frequent, r in small
+#: letters and in no vocabulary, k so and known but seldom, I and i initials, P and D particles, Q these in capitals; then a blank,
+#: or a comma and a blank.
+_NAMES = [
+    ("cap", re.compile(r"(?=((?:[TC]|I)(?: I)?(?: P(?: D)?)? [TC]))")),
+    ("comma", re.compile(r"(?=((?:P (?:D )?)?[TC],(?:[TC]|I)(?: I)?))")),
+    ("caps", re.compile(r"(?=((?:[UV]|I)(?: I)?(?: [PDQ]){0,2} [UV]))")),
+    ("commacaps", re.compile(r"(?=([UV],(?:[UV]|I)(?: I)?))")),
+    ("low", re.compile(r"(?=((?:[rk]|i)(?: i)?(?: P(?: D)?)? [rk]))")),
+    ("commalow", re.compile(r"(?=([rk],(?:[rk]|i)(?: i)?))")),
 ]
+#: Titles and roles, which are no part of a name.
+_TITLES = frozenset("dr prof mr mrs ms mx herr frau sr sra srta señor señora mister doctor miss sir madam don doña mme mlle".split())
+_HANGUL_NAME = regex.compile(r"(?<![\p{Hangul}])[\p{Hangul}]{2,4}(?= ?(?:씨|님|담당자|귀하|께서))|(?<=(?:받는 사람|담당자|성명|이름:?) )[\p{Hangul}]{2,4}(?![\p{Hangul}])", regex.V1)
+
+
+@functools.cache
+def _ranks(path: str = VOCABULARY) -> dict[str, int]:
+    """The words of small letters that are one token after a blank, by rank."""
+    words = {}
+    with open(path, "rb") as f:
+        for line in f:
+            token, rank = line.split()
+            token = base64.b64decode(token)
+            if token[:1] == b" ":
+                word = token[1:].decode("utf-8", "ignore")
+                if word.isalpha() and word.islower():
+                    words[word] = int(rank)
+    return words
+
+
+@functools.lru_cache(200_000)
+def _bucket(word: str) -> int:
+    """How seldom a word is: 0 very frequent to 3 seldom, 4 unknown."""
+    rank = _ranks().get(word.lower(), 1 << 30)
+    return 0 if rank < 1500 else 1 if rank < 5000 else 2 if rank < 15_000 else 3 if rank < 1 << 30 else 4
+
+
+@functools.lru_cache(200_000)
+def _class(word: str, dot: bool) -> str:
+    if len(word) == 1:
+        return ("I" if word.isupper() else "i" if word.islower() else "x") if dot else "x"
+    low = word.lower()
+    if low in _PARTICLES:
+        return "Q" if word.isupper() else _PARTICLES[low]
+    if low in _TITLES:
+        return "x"
+    seldom = _bucket(word)
+    if word.isupper():
+        return "V" if seldom < 2 else "U"
+    if word[0].isupper():
+        return "C" if seldom < 2 else "T"
+    return ("l" if seldom < 3 else "k" if seldom < 4 else "r") if word.islower() else "x"
+
+
+class Words:
+    """The words of a text: where they start and end, and their classes with what stands between them in one string."""
+
+    def __init__(self, text: str, frequent: frozenset[str] = frozenset()):
+        self.starts, self.ends, parts, at = [], [], [], 0
+        for m in _WORD.finditer(text):
+            a, b = m.span()
+            gap = text[at:a]
+            if self.starts:
+                dotted = parts[-1] in "Ii" and gap[:1] == "."
+                gap = gap[1:] if dotted else gap
+                parts.append(" " if gap == " " else "," if gap == ", " else "|")
+            word, dot = m[0], text[b : b + 1] == "." and not text[b + 1 : b + 2].isalpha()
+            kind = _class(word, dot)
+            parts.append("l" if kind in "rk" and word in frequent else kind)
+            self.starts.append(a)
+            self.ends.append(b + 1 if parts[-1] in "Ii" else b)
+            at = b
+        self.classes = "".join(parts)
+        self.text = text
+
+    def word(self, i: int) -> str:
+        return self.text[self.starts[i] : self.ends[i]]
+
+
 _EMAIL = [
     ("plain", regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}._+\-]*@[\p{L}\p{N}][\p{L}\p{N}\-]*(?:\.[\p{L}\p{N}][\p{L}\p{N}\-]*)*", regex.V1)),
     ("spelled", regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}._+\-]*\s?[(\[{]\s?(?i:at)\s?[)\]}]\s?[\p{L}\p{N}\-]+(?:(?:\.|\s?[(\[{]\s?(?i:dot)\s?[)\]}]\s?|\s(?i:dot)\s)[\p{L}\p{N}\-]+)+", regex.V1)),
@@ -57,42 +123,34 @@ _EMAIL = [
 ]
 _PHONE = regex.compile(r"(?<![\p{L}\p{N}_.\-/@#])(?<!\d:)(?:\+\d{1,3}|\(\+?\d{2,5}\)|\d{2,6})(?:[ ./\-]{0,2}(?:\(\d{1,5}\)|\d{1,8})){0,5}(?![\p{N}@_])", regex.V1)
 _IDENTITY = regex.compile(
-    r"(?<![\p{L}\p{N}_.\-/@#\[])(?<!\d:)(?:\d{6}-\d{7}|\d{3}[ \-]\d{2}[ \-]\d{4}|\d{9}|\d{3} \d{6}|[A-Za-z]\d{8}|[A-Za-z]{2}\d{3} \d{5})(?![\p{L}\p{N}_\-@])", regex.V1
+    r"(?<![\p{L}\p{N}_.\-/@#\[])(?<!\d:)(?:\d{6}-\d{7}|\d{3}[ \-]\d{2}[ \-]\d{4}|\d{9}|\d{3} \d{6}|[A-Za-z]\d{8}|[A-Za-z]{2}\d{7}|[A-Za-z]{2}\d{3} \d{5})(?![\p{L}\p{N}_\-@])", regex.V1
 )
 _STREET = r"(?:Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Boulevard|Blvd|Close|Drive|Dr|Court|Ct|Way|Place|Pl|Square|Terrace|Crescent|Row|Hill|Gate|Walk|Mews|Parade|Gardens|Grove|Park)"
+_ROADS = frozenset(re.findall(r"\w{3,}", _STREET)) | frozenset("Hall Lake Port Mount Bay Hollow Falls Church School Bridge River Saint".split())
 _TOWN = rf"{_UP}[\p{{L}}'’\-]+(?: {_UP}[\p{{L}}'’\-]+){{0,2}}"
 _POST = r"(?:[A-Z]{1,2}\d{1,2}[A-Z]? ?\d[A-Z]{2}|[A-Z]{2} \d{5}(?:-\d{4})?|\d{5})"
 _ADDRESS = [
     ("number first", regex.compile(rf"(?<![\p{{L}}\p{{N}}.,\-/#:])\d{{1,5}}[a-z]?(?: {_UP}\.)?(?: St\.)?(?: {_UP}[\p{{L}}'’\-]+){{1,4}}(?<= {_STREET})\.?", regex.V1), ("unit", "town", "post")),
+    ("number first", regex.compile(rf"(?<![\p{{L}}\p{{N}}.,\-/#:])\d{{1,4}}(?: bis| ter)?,? (?:[Rr]ue|[Aa]venue|[Bb]oulevard|[Pp]lace|[Cc]hemin|[Aa]llée|[Qq]uai)(?: (?:de|du|des|la|le|les))*(?: (?:d['’])?{_UP}[\p{{L}}'’\-]+){{1,3}}", regex.V1), ("town after post",)),
     ("number last", regex.compile(rf"(?<![\p{{L}}\p{{N}}])(?:(?:Am|An|Auf|Im|In|Zum|Zur|Unter|Hinter|Vor|Alte|Alter|Calle|Rue|Via|Avenida|Plaza)(?: (?:der|den|dem|de|del|la|du))? )?{_UP}[\p{{L}}\-]+ \d{{1,4}} ?[a-z]?(?=, \d{{5}} )", regex.V1), ("town after post",)),
     ("number last", regex.compile(rf"(?<![\p{{L}}\p{{N}}])(?:(?:Am|An|Auf|Im|Zum|Zur) )?{_UP}[\p{{L}}\-]*(?:straße|strasse|weg|platz|gasse|allee|stieg|ring|damm|ufer|teich) \d{{1,4}}[a-z]?(?![\p{{L}}\p{{N}}])", regex.V1), ("town after post",)),
     ("hangul", regex.compile(r"[\p{Hangul}]{1,8}(?:시|도|군)(?: [\p{Hangul}]{1,8}(?:시|군|구|읍|면|동))* [\p{Hangul}\d]{1,10}(?:로|길)(?: \d{1,3}(?:번)?길)? \d{1,4}(?:-\d{1,4})?(?:번지)?(?:,? \d{1,4}동)?(?:,? \d{1,5}호)?", regex.V1), ()),
 ]
 _MORE = {
     "unit": regex.compile(r", (?:Apt|Flat|Unit|Suite|Apartment|Floor|No)\.? ?[\p{L}\p{N}\-]{1,6}"),
-    "town": regex.compile(rf", {_TOWN}"),
+    "town": regex.compile(rf", {_TOWN}(?![\p{{L}}\p{{N}}])"),
     "post": regex.compile(rf",? {_POST}(?![\p{{L}}\p{{N}}])"),
     "town after post": regex.compile(rf", \d{{5}} {_TOWN}"),
 }
-_WORD_LEFT = regex.compile(r"([\p{L}\p{N}/.]+|[^\s\p{L}\p{N}])[^\p{L}\p{N}]*$")
-_LEFT_TWO = regex.compile(r"([\p{L}\p{N}./]+)[^\p{L}\p{N}]+[\p{L}\p{N}./]+[^\p{L}\p{N}]*$")
-_WORD_RIGHT = regex.compile(r"[^\p{L}\p{N}]*([\p{L}\p{N}]+)")
-_DIGITS = regex.compile(r"\d+")
+_DIGITS = re.compile(r"\d+")
 _SERVICE = regex.compile(r"(?i)^(?:no-?reply|do-?not-?reply|git|root|admin|daemon|mailer-daemon|postmaster|notifications?|alerts?|bot|user|localhost|www|ci|build|svn|hg|ssh|deploy|service|system)$")
-_FUNCTION = frozenset(
-    """the a an this that these those every our one half nothing when while never always prefer use user keep do does did not and or but of in on at to
-    for by with from as if since after before between during into over under near next to section row rows order build session commit release version
-    der die das den dem des ein eine seit laut nach trotz niemand jede jeder alle über im am zum zur neu von und oder el la los las un una según desde
-    lake quarry street view main tabs saint hall north south east west king queen kept lane road hollow board form says moved house we it is was
-    january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday
-    why how what rule scope source seen noted applies ref branch paired reported signed tell reach ask call escribir paket anruf ship invoice their her his""".split()
-)
-
-
 #: The fewest digits of a telephone number.
 _PHONE_DIGITS = 7
 #: Without one of these no address for mail is spelled out.
 _AT = re.compile(r"(?i)[\s(\[{]at[\s)\]}]")
+#: A name stands neither behind nor before one of these.
+_GLUED = frozenset("@._-/#'’0123456789")
+_GLUES = frozenset("@_")
 _HANGUL = re.compile(r"[\uac00-\ud7a3]")
 _DIGIT = re.compile(r"\d")
 
@@ -101,12 +159,25 @@ def _shape(text: str) -> str:
     return regex.sub(r"\p{L}", "x", regex.sub(r"\d+", lambda m: str(len(m[0])), text))
 
 
-def _person_spans(text: str) -> Iterator[Span]:
-    for form, pattern in _PERSON:
-        if form == "hangul" and not _HANGUL.search(text):
-            continue
-        for m in pattern.finditer(text, overlapped=form in ("cap", "caps", "comma")):
-            yield m.start(), m.end(), "person", form
+def _person_spans(words: Words) -> Iterator[Span]:
+    """Two words of which one at least is not among the most frequent, with initials and particles, in any case and order."""
+    text, classes = words.text, words.classes
+    for form, pattern in _NAMES:
+        for m in pattern.finditer(classes):
+            i, j = m.start() // 2, (m.end(1) - 1) // 2
+            found = m[1]
+            if form in ("low", "commalow"):
+                if "r" not in found:
+                    continue
+            elif "T" not in found and "U" not in found:
+                continue
+            a, b = words.starts[i], words.ends[j]
+            if text[a - 1 : a] in _GLUED or text[b : b + 1] in _GLUES or text[b : b + 1].isdigit():
+                continue
+            yield a, b, "person", form
+    if _HANGUL.search(text):
+        for m in _HANGUL_NAME.finditer(text):
+            yield m.start(), m.end(), "person", "hangul"
 
 
 def _address_spans(text: str) -> Iterator[Span]:
@@ -144,7 +215,7 @@ def _phone_spans(text: str) -> Iterator[Span]:
                 yield s, g.end(), "phone", _shape(text[s : g.end()])
 
 
-def candidates(text: str) -> list[Span]:
+def candidates(text: str, words: Words | None = None) -> list[Span]:
     """Candidate segments ``(start, end, kind, form)`` of the whole text, of a few dozen tokens at most each."""
     found: list[Span] = []
     if "@" in text or _AT.search(text):
@@ -154,44 +225,67 @@ def candidates(text: str) -> list[Span]:
         found.extend(_phone_spans(text))
         found.extend((m.start(), m.end(), "identity", _shape(m[0])) for m in _IDENTITY.finditer(text))
         found.extend(_address_spans(text))
-    found.extend(_person_spans(text))
+    found.extend(_person_spans(words or Words(text)))
     return list(dict.fromkeys(found))
 
 
-def features(text: str, span: Span) -> list[str]:
-    """Whole-span features of one candidate."""
+def _told(word: str) -> str:
+    """A word as a feature: itself if it is frequent, else its class."""
+    return word.lower() if _bucket(word) < 3 else "<" + _class(word, False) + ">"
+
+
+def features(text: str, span: Span, words: Words) -> list[str]:
+    """Whole-span features of one candidate: its form and words, and what stands before and after it."""
     s, e, kind, form = span
-    left, right = text[max(0, s - 28) : s], text[e : e + 18]
-    a, b, c = _WORD_LEFT.search(left), _WORD_RIGHT.match(right), _LEFT_TWO.search(left)
-    l1 = a[1].lower() if a else "<start>"
-    l2 = c[1].lower() if c else "<start>"
-    r1 = b[1].lower() if b else "<end>"
-    lp = left.rstrip()[-1:] if left.strip() else "<start>"
-    rp = right[:1] if right else "<end>"
-    l1 = regex.sub(r"\d+", "0", l1)[:16]
-    r1 = regex.sub(r"\d+", "0", r1)[:16]
-    gap = "" if not left else ("start" if regex.search(r"(?:[.!?。]\s+|\n\s*)$", left) else "in")
-    out = [f"{kind}", f"{kind}|{form}", f"{kind}|l1={l1}", f"{kind}|r1={r1}", f"{kind}|lp={lp if not lp.isalnum() else 'w'}", f"{kind}|rp={rp if not rp.isalnum() else 'w'}"]
+    before, after = bisect.bisect_left(words.starts, s) - 1, bisect.bisect_left(words.starts, e)
+    n = len(words.starts)
+    near_left = before >= 0 and s - words.ends[before] <= 3
+    near_right = after < n and words.starts[after] - e <= 3
+    l1 = _told(words.word(before)) if near_left else "<none>"
+    r1 = _told(words.word(after)) if near_right else "<none>"
+    left, right = text[max(0, s - 2) : s], text[e : e + 2]
+    lp = left.strip()[-1:] or ("<blank>" if left else "<start>")
+    rp = right[:1] or "<end>"
+    lp, rp = ("w" if lp.isalnum() else lp), ("w" if rp.isalnum() else rp)
+    begins = not left or left[0] in ".!?。\n" or left[-1] == "\n" or lp in "-*>|"
+    out = [kind, f"{kind}|{form}", f"{kind}|l1={l1}", f"{kind}|r1={r1}", f"{kind}|lp={lp}", f"{kind}|rp={rp}"]
     body = text[s:e]
     if kind == "person":
-        words = [w.strip(".,").lower() for w in body.split()]
-        known = sum(w in _FUNCTION for w in words if len(w) > 1 and w not in ("van", "der", "von", "de"))
-        shouted = regex.search(r"\p{Lu}{2,}\W*$", left) is not None or regex.match(r"\W*\p{Lu}{2,}", right) is not None
-        titled = regex.search(r"\p{Lu}\p{Ll}+ $", left) is not None or regex.match(r" \p{Lu}\p{Ll}", right) is not None
-        near = regex.findall(r"\p{L}{2,}", left) + regex.findall(r"\p{L}{2,}", right)
-        loud = round(4 * sum(w.isupper() for w in near) / len(near)) if near else "none"
-        caps = round(4 * sum(w[0].isupper() for w in near) / len(near)) if near else "none"
-        cue = f"{l1}&{r1}"
-        out += [f"p|known={min(known, 2)}", f"p|{form}|{gap}", f"p|l={l1}|{form[:5]}", f"p|r={r1}|{form[:5]}", f"p|cue={cue}", f"p|l2={l2} {l1}", f"p|words={len(words)}", f"p|shout={shouted}|{form}", f"p|title={titled}|{form}", f"p|last={words[-1][-3:]}", f"p|loud={loud}|{form}", f"p|caps={caps}|{form}|{gap}"]
-        if right.startswith(("'s", "’s")):
+        if form == "hangul":
+            return [*out, f"h|n={len(body)}", f"h|first={body[0]}", f"h|r={right.strip()[:1]}", f"h|l={text[max(0, s - 4) : s].strip()[-2:]}"]
+        lc = words.classes[2 * before] if before >= 0 else "-"
+        rc = words.classes[2 * after] if after < n else "-"
+        ll = words.classes[2 * before - 2] if before >= 1 else "-"
+        rr = words.classes[2 * after + 2] if after + 1 < n else "-"
+        inner = [words.word(i) for i in range(before + 1, after)]
+        rare = "".join(str(_bucket(w)) for w in inner if len(w.rstrip(".")) > 1 and w.lower() not in _PARTICLES)
+        kinds = words.classes[2 * before + 2 : 2 * after - 1]
+        tied = "y" if text[s - 1 : s] == " " and before >= 0 and words.ends[before] == s - 1 else "n"
+        tied += "y" if right[:1] == " " and after < n and words.starts[after] == e + 1 else "n"
+        out += [
+            f"p|rare={rare}|{form}", f"p|{kinds}|{begins}", f"p|{form}|{lc}{rc}{tied}", f"p|{form}|{ll}{lc}", f"p|{form}|{rc}{rr}", f"p|{form}|l={l1}", f"p|{form}|r={r1}|{begins}",
+            f"p|cue={l1}&{r1}", f"p|{rare}|{lc}|{tied}", f"p|{rare}|{rc}|{tied}", f"p|lp={lp}{rp}|{form}", f"p|{form}|{rp}{rc}", f"p|{form}|{lp}{lc}", f"p|short={min(map(len, inner))}|{form}",
+        ]
+        if form in ("low", "commalow"):
+            out += [f"p|{form}|end={inner[-1][-2:]}|{tied}", f"p|{form}|end={inner[0][-2:]} {inner[-1][-2:]}"]
+        out += [f"p|first={inner[0].lower() if _bucket(inner[0]) < 4 else kinds[:1]}", f"p|last={inner[-1].lower() if _bucket(inner[-1]) < 4 else kinds[-1:]}"]
+        ends = (inner[0] in _ROADS, inner[-1] in _ROADS)
+        if right.strip()[:1].isdigit():
+            out.append(f"p|number|{begins}")
+        if any(ends):
+            out.append(f"p|road={ends}")
+        if right in ("'s", "’s"):
             out.append("p|owner")
     elif kind == "email":
         local, _, host = body.partition("@")
-        out += [f"e|service={bool(_SERVICE.match(local))}", f"e|dots={min(host.count('.'), 2)}|{form}", f"e|digits={bool(regex.search(r'@v?[0-9]', body))}", f"e|path={rp == ':'}", f"e|cap={bool(regex.search(r'[.][A-Z][a-z]+$', body))}"]
+        out += [f"e|service={bool(_SERVICE.match(local))}", f"e|dots={min(host.count('.'), 2)}|{form}", f"e|digits={bool(re.search(r'@v?[0-9]', body))}", f"e|path={rp == ':'}", f"e|cap={bool(re.search(r'[.][A-Z][a-z]+$', body))}"]
     elif kind in ("phone", "identity"):
-        out += [f"{kind}|n={sum(x.isdigit() for x in body)}", f"{kind}|l2={l2} {l1}", f"{kind}|f&l={form}|{l1}", f"{kind}|zero={body.lstrip('(')[:1] in '0+'}|{form}", f"{kind}|right word={rp.isalnum()}", f"{kind}|head={body[:2] if body[:1] in '(+' else body[:1]}"]
+        l2 = _told(words.word(before - 1)) if near_left and before >= 1 else "<none>"
+        touching = "w" if right[:1].isalnum() else "n"
+        out += [f"{kind}|n={sum(x.isdigit() for x in body)}", f"{kind}|l2={l2} {l1}", f"{kind}|f&l={form}|{l1}", f"{kind}|zero={body.lstrip('(')[:1] in '0+'}|{form}", f"{kind}|right word={touching}", f"{kind}|head={body[:2] if body[:1] in '(+' else body[:1]}"]
     else:
-        out += [f"a|post={bool(regex.search(r'[0-9]{5}|[0-9][A-Z]{2}$', body))}", f"a|commas={body.count(',')}", f"a|more={bool(regex.match(r', [A-Z0-9]', right))}|{form}", f"a|last={body.split(' ')[-1].lower()[:12]}|{'cap' if regex.match(r' [A-Z]', right) else 'no'}"]
+        more = re.match(r", [A-Z0-9]", text[e : e + 3]) is not None
+        out += [f"a|post={bool(re.search(r'[0-9]{5}|[0-9][A-Z]{2}$', body))}", f"a|commas={body.count(',')}", f"a|more={more}|{form}", f"a|last={_bucket(body.split(' ')[-1])}|{'cap' if re.match(r' [A-Z]', text[e : e + 2]) else 'no'}"]
     return out
 
 
@@ -202,15 +296,16 @@ def _ordered(spans: list[Span]) -> tuple[list[Span], list[int]]:
     return spans, [bisect.bisect_right(ends, x[0]) for x in spans]
 
 
-def best_segments(text: str, weights: dict[str, float]) -> list[tuple[int, int, str]]:
+def best_segments(text: str, weights: dict[str, float], frequent: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
     """The segmentation of greatest score: exact dynamic programming over the candidates."""
-    found = candidates(text)
+    words = Words(text, frequent)
+    found = candidates(text, words)
     if not found:
         return []
     spans, before = _ordered(found)
     best, taken = [0.0], []
     for i, span in enumerate(spans):
-        score = sum(weights.get(f, 0.0) for f in features(text, span)) + best[before[i]]
+        score = sum(weights.get(f, 0.0) for f in features(text, span, words)) + best[before[i]]
         taken.append(score > best[-1])
         best.append(max(score, best[-1]))
     out, i = [], len(spans)
@@ -231,10 +326,11 @@ def train(sentences: list[tuple[str, set[tuple[int, int, str]]]], passes: int =
     """Maximum conditional likelihood by adaptive gradient steps; the expectations come from forward and backward sums."""
     prepared = []
     for text, gold in sentences:
-        spans, before = _ordered(candidates(text))
+        words = Words(text)
+        spans, before = _ordered(candidates(text, words))
         if spans:
             starts = sorted(range(len(spans)), key=lambda i: spans[i][0])
-            prepared.append((spans, before, [features(text, s) for s in spans], [s[:3] in gold for s in spans], starts))
+            prepared.append((spans, before, [features(text, s, words) for s in spans], [s[:3] in gold for s in spans], starts))
     weights: dict[str, float] = defaultdict(float)
     squares: dict[str, float] = defaultdict(float)
     order = random.Random(seed)
@@ -267,16 +363,28 @@ def train(sentences: list[tuple[str, set[tuple[int, int, str]]]], passes: int =
 _MODEL: dict[int, dict[str, float]] = {}
 
 
-def model(n_sentences: int = 6000) -> dict[str, float]:
+def model(n_sentences: int = 14_000) -> dict[str, float]:
     """The weights, trained once per process on ``n_sentences`` labelled sentences (a fixed bound)."""
     if n_sentences not in _MODEL:
         _MODEL[n_sentences] = train(labelled_sentences(n_sentences))
     return _MODEL[n_sentences]
 
 
-def _tagger(df: DataFrame, weights: dict[str, float] | None) -> Callable[[str], list[tuple[int, int, str]]]:
-    shared = df.sparkSession.sparkContext.broadcast(model() if weights is None else weights)
-    return lambda text: best_segments(text, shared.value)
+def frequent_words(texts: DataFrame, text_col: str, least: int = 5, share: float = 0.8, most: int = 50_000) -> frozenset[str]:
+    """Words that stand in small letters ``least`` times and in a ``share`` of their places at least, counted over all texts: no part of a name in small letters.
+
+    Of more than ``most`` such words (the bound of what every task is told) the most frequent.
+    """
+    word = texts.select(F.explode(F.split(F.col(text_col), r"[^\p{L}'’\-]+")).alias("w")).groupBy("w").count()
+    low = F.col("w") == F.lower("w")
+    counts = word.groupBy(F.lower("w").alias("w")).agg(F.sum(F.when(low, F.col("count")).otherwise(0)).alias("small"), F.sum("count").alias("all"))
+    often = counts.filter((F.length("w") > 1) & (F.col("small") >= least) & (F.col("small") >= share * F.col("all")))
+    return frozenset(r.w for r in often.orderBy(F.desc("small"), "w").limit(most).select("w").collect())
+
+
+def _tagger(df: DataFrame, text_col: str, weights: dict[str, float] | None) -> Callable[[str], list[tuple[int, int, str]]]:
+    shared = df.sparkSession.sparkContext.broadcast((model() if weights is None else weights, frequent_words(df, text_col)))
+    return lambda text: best_segments(text, *shared.value)
 
 
 def find_mentions(df: DataFrame, id_col: str, text_col: str, weights: dict[str, float] | None = None) -> DataFrame:
@@ -286,7 +394,7 @@ def find_mentions(df: DataFrame, id_col: str, text_col: str, weights: dict[str,
     hold no mention; repeated rows give repeated mentions, so take ``distinct``
     where rows may come twice.  Segments never overlap.  Other columns are ignored.
     """
-    tag = _tagger(df, weights)
+    tag = _tagger(df, text_col, weights)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -299,7 +407,7 @@ def find_mentions(df: DataFrame, id_col: str, text_col: str, weights: dict[str,
 
 def redact(df: DataFrame, text_col: str, weights: dict[str, float] | None = None) -> DataFrame:
     """``df`` with every mention in ``text_col`` replaced by ``[PERSON]``, ``[EMAIL]`` and so on; all else is unchanged.  Null stays null."""
-    tag = _tagger(df, weights)
+    tag = _tagger(df, text_col, weights)
 
     def clean(text: str | None) -> str | None:
         if not text:

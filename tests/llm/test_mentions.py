@@ -15,11 +15,24 @@ def weights():
 
 
 def test_held_out_accuracy(weights):
-    hit = wrong = missed = 0
-    for text, gold in labelled_sentences(600, seed=123):
+    """By kind, on texts of another seed; names in small letters and without any cue are among them."""
+    least = {"person": (0.85, 0.88), "email": (0.94, 0.95), "phone": (0.98, 0.98), "identity": (0.95, 0.97), "address": (0.85, 0.92)}
+    hits, wrong, missed = (dict.fromkeys(m.KINDS, 0) for _ in range(3))
+    for text, gold in labelled_sentences(800, seed=123):
         got = set(m.best_segments(text, weights))
-        hit, wrong, missed = hit + len(got & gold), wrong + len(got - gold), missed + len(gold - got)
-    assert hit / (hit + wrong) > 0.97 and hit / (hit + missed) > 0.97
+        for counts, spans in ((hits, got & gold), (wrong, got - gold), (missed, gold - got)):
+            for span in spans:
+                counts[span[2]] += 1
+    for kind, (recall, precision) in least.items():
+        assert hits[kind] / (hits[kind] + missed[kind]) >= recall, kind
+        assert hits[kind] / (hits[kind] + wrong[kind]) >= precision, kind
+
+
+def test_frequent_words_are_counted_over_all_texts(spark):
+    rows = [("the walrus Walrus sleeps near marten",)] * 4 + [("walrus WALRUS, walrus; Marten",)] * 2 + [(None,), ("",)]
+    got = m.frequent_words(spark.createDataFrame(rows, "t string"), "t", least=4, share=0.5)
+    assert got == {"the", "walrus", "sleeps", "near", "marten"}
+    assert m.frequent_words(spark.createDataFrame(rows, "t string"), "t", least=4, share=0.9) == {"the", "sleeps", "near"}
 
 
 CASES = [
@@ -43,8 +56,8 @@ def test_dynamic_programme_is_exact(monkeypatch):
     for _ in range(60):
         spans = sorted({(a, a + r.randint(1, 6), r.choice(m.KINDS), "f") for a in (r.randint(0, 14) for _ in range(9))})
         score = {s: r.uniform(-1, 2) for s in spans}
-        monkeypatch.setattr(m, "candidates", lambda text, s=spans: list(s))
-        monkeypatch.setattr(m, "features", lambda text, s: [str(s)])
+        monkeypatch.setattr(m, "candidates", lambda text, words, s=spans: list(s))
+        monkeypatch.setattr(m, "features", lambda text, s, words: [str(s)])
         got = m.best_segments("x" * 30, {str(s): v for s, v in score.items()})
         best = 0.0
         for n in range(len(spans) + 1):
