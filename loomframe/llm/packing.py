@@ -80,8 +80,8 @@ def pack(
     sized = (
         df.select(F.col(id_col), F.col(text_col).alias("_text"))
         .filter(F.col("_text").isNotNull() & (F.col("_text") != ""))
-        .distinct()
         .select(F.col(id_col), token_count(F.col("_text"), ranks).alias("total"), F.xxhash64("_text").alias("tie"))
+        .distinct()
     )
     sized = cut_lineage(sized)
     n = sized.count()

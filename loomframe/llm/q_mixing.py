@@ -11,7 +11,7 @@ from loomframe.tables import table
 
 @query("p7_mixture")
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).drop("membership")
 
 
 @query("p7_report")

@@ -27,18 +27,10 @@ def encoding(ranks: str = RANKS, pattern: str = PATTERN):
     return _LOADED[key]
 
 
-def count_tokens(texts: list[str | None], ranks: str = RANKS, block: int = 20_000) -> list[int]:
-    """Tokens of each text; very long runs are encoded in blocks, which bounds the time of one merge."""
+def count_tokens(texts: list[str | None], ranks: str = RANKS) -> list[int]:
+    """Tokens of each text, which is always encoded as a whole."""
     enc = encoding(ranks)
-    out = []
-    for text in texts:
-        if not text:
-            out.append(0)
-        elif len(text) <= block:
-            out.append(len(enc.encode_ordinary(text)))
-        else:
-            out.append(sum(len(enc.encode_ordinary(text[i : i + block])) for i in range(0, len(text), block)))
-    return out
+    return [len(enc.encode_ordinary(text)) if text else 0 for text in texts]
 
 
 def token_count(text: Column, ranks: str = RANKS) -> Column:

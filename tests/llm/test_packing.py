@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomframe.llm.packing import fullest, pack, packing_report, plan_bins
-from loomframe.llm.tokens import RANKS, count_tokens
+from loomframe.llm.tokens import RANKS, count_tokens, encoding
 
 needs_ranks = pytest.mark.skipif(not os.path.exists(RANKS), reason="the tokenizer file is not here")
 
@@ -59,3 +59,8 @@ def test_operator(spark):
     report = packing_report(packed).first()
     assert report.unused_share < 0.1 and report.n_bins >= report.least_bins
     assert pack(df.limit(0)).count() == 0 and packing_report(pack(df.limit(0))).first().n_bins == 0
+
+
+def test_long_texts_are_counted_as_a_whole():
+    text = "Ein Satz mit 12 Wörtern, dann noch einer.  " * 2000 + "x" * 30_000 + "。漢字" * 9000
+    assert count_tokens([text, None, ""]) == [len(encoding().encode_ordinary(text)), 0, 0]
