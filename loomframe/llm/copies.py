@@ -29,7 +29,7 @@ def canonical_text(body: Column, field_names: tuple[str, ...] = FIELD_NAMES) ->
     folded = lambda t: F.replace(F.replace(F.lower(t), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
     runs = lambda t: F.trim(F.regexp_replace(folded(t), r"[^\p{L}\p{N}]+", " "))
     marked = F.split(F.regexp_replace(F.regexp_replace(body, "\u0001", " "), head, "\u0001$1 "), "\u0001")
-    plain = F.concat(F.slice(marked, 1, 1), F.array_sort(F.transform(F.slice(marked, 2, 100000), runs)))
+    plain = F.concat(F.slice(marked, 1, 1), F.array_sort(F.transform(F.slice(marked, F.lit(2), F.size(marked)), runs)))
     members = F.from_json(F.when(body.rlike(r"^\s*\{"), body), "map<string,string>")
     fields = F.array_sort(
         F.transform(F.map_entries(members), lambda e: runs(F.concat(e["key"], F.lit(" "), F.coalesce(e["value"], F.lit("")))))
@@ -42,8 +42,9 @@ def collapse_copies(
     df: DataFrame,
     id_col: str = "memory_id",
     body_col: str = "body",
-    hot_rows: int = 100_000,
+    hot_rows: int | None = None,
     salts: int = 64,
+    most_hot: int = 10_000,
 ) -> DataFrame:
     """Every record's ``record_key, representative, member, n_copies``; the representative is the smallest id.
 
@@ -51,11 +52,11 @@ def collapse_copies(
     without any letter or digit are all the same (empty) record.  Repeated rows
     count once.  An empty table gives an empty result; other columns are ignored.
 
-    Keys of more than ``hot_rows`` rows are hot: at most rows / ``hot_rows`` keys
-    can be, so their list stays small against the data and is broadcast while it
-    is.  Their rows are salted by id into ``salts`` groups, aggregated in each,
-    and the partial results aggregated again.  The others need one shuffle, and a
-    group there holds at most ``hot_rows`` rows.
+    Keys of more than ``hot_rows`` rows are hot; by default these are the keys that
+    hold more than one in ``most_hot`` of all rows (and 16 rows at least), so there are
+    ``most_hot`` of them at the most and their list can be broadcast.  Their rows are
+    salted by id into ``salts`` groups, aggregated in each, and the partial results
+    aggregated again.  The others need one shuffle, in which no group is large.
     """
     keyed = (
         df.filter(F.col(body_col).isNotNull() & F.col(id_col).isNotNull())
@@ -63,9 +64,11 @@ def collapse_copies(
         .distinct()
     )
     keyed = cut_lineage(keyed)
-    hot = cut_lineage(keyed.groupBy("record_key").count().filter(F.col("count") > hot_rows).select("record_key"))
+    n = keyed.count()
+    least = max(16, n // most_hot) if hot_rows is None else max(hot_rows, n // most_hot)
+    hot = cut_lineage(keyed.groupBy("record_key").count().filter(F.col("count") > least).select("record_key"))
     n_hot = hot.count()
-    small = F.broadcast(hot) if n_hot <= 1_000_000 else hot
+    small = F.broadcast(hot)
     group = Window.partitionBy("record_key")
     rest = (keyed.join(small, "record_key", "left_anti") if n_hot else keyed).select(
         "record_key", F.min("member").over(group).alias("representative"), "member", F.count(F.lit(1)).over(group).alias("n_copies")
@@ -77,5 +80,4 @@ def collapse_copies(
         F.min("member").alias("least"), F.count(F.lit(1)).alias("n")
     )
     tops = salted.groupBy("record_key").agg(F.min("least").alias("representative"), F.sum("n").alias("n_copies"))
-    tops = F.broadcast(tops) if n_hot <= 1_000_000 else tops
-    return rest.unionByName(mine.join(tops, "record_key").select("record_key", "representative", "member", "n_copies"))
+    return rest.unionByName(mine.join(F.broadcast(tops), "record_key").select("record_key", "representative", "member", "n_copies"))

@@ -39,7 +39,7 @@ def test_hot_and_cold_keys_agree_with_brute_force(spark):
     rows = [(100 - i, b) for i, b in enumerate(bodies)]
     plain = dict(zip([i for i, _ in rows], keys(spark, bodies), strict=True))
     df = spark.createDataFrame([*rows, *rows, (None, "hot"), (500, None)], "memory_id long, body string")
-    for hot_rows in (4, 1000):
+    for hot_rows in (4, 1000, None):
         out = collapse_copies(df, hot_rows=hot_rows, salts=4).collect()
         assert len(out) == len(rows)
         assert {(r.representative, r.member) for r in out if r.member != r.representative} == brute(list(plain.items()))
@@ -49,3 +49,10 @@ def test_hot_and_cold_keys_agree_with_brute_force(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "memory_id long, body string, member string, record_key string")
     assert collapse_copies(df).count() == 0
+
+
+def test_texts_of_very_many_fields(spark):
+    fields = [f"rule: {i}" for i in range(100_500)]
+    one, two, three = ("\n".join(x) for x in (fields, fields[::-1], [*fields[:-1], "rule: other"]))
+    got = keys(spark, [one, two, three])
+    assert got[0] == got[1] != got[2]
