@@ -4,42 +4,53 @@ The layout decides first: blank lines, headings, list items and code fences.
 Inside a paragraph the Unicode sentence-break properties name the terminators
 of every script; the decision after a terminator follows the standard rules
 (decimals, upper case inside words, lower case after a full stop, continuation
-marks), narrowed by abbreviation lists and widened by the handling of
+marks), narrowed by abbreviation lists of the paragraph's language and widened by the handling of
 quotations and of blanks and full stops that were lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Never the end of a sentence: titles and short forms that need a word after them.
-ALWAYS = frozenset(
-    """dr prof mr mrs ms mx st fr hr sr sra srta dra rev gen col capt lt sgt hon messrs mme mlle
-    e.g i.e cf viz approx ca incl excl sect resp vgl bzw evtl ggf inkl zzgl sog z.b d.h u.a i.d.r z.t u.u
-    p.ej ej aprox vs dept est al bsp dipl ing bspw zb dh""".split()
-)
-#: Not the end before a number or a lower-case word.
-BEFORE_NUMBER = frozenset(
-    """no nr núm num pág págs pag p pp s vol art abs fig figs ch chap kap cap sec eq ed tab bd zif ziff
-    jan feb mar apr jun jul aug sep sept oct nov dec okt dez mär ene abr ago dic""".split()
-)
-#: The end unless a lower-case word follows.
-UNLESS_LOWER = frozenset("etc usw usf a.m p.m inc ltd co corp jr ph.d m.a b.a u.s u.k e.u u.n d.c ff".split())
-#: Names that keep their small first letter at the start of a sentence.
-SMALL_NAMES = frozenset("sqlite npm git pandas numpy pip curl bash vim grep jq ffmpeg nginx systemd kubectl pytest".split())
-MONTHS = frozenset(
-    """januar februar märz april mai juni juli august september oktober november dezember jänner
-    january february march may june july october december
-    enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre jahrhundert""".split()
-)
+#: Short forms by language: never the end of a sentence; not the end before a number or a small letter; the end unless a small letter follows.
+NEVER = {
+    "en": "dr prof mr mrs ms mx st messrs rev gen col capt lt sgt hon e.g i.e cf viz approx incl excl sect resp vs dept est al ca",
+    "de": "dr prof hr fr st dipl ing e.g i.e vgl bzw evtl ggf inkl zzgl sog z.b d.h u.a i.d.r z.t u.u ca bspw bsp zb dh usf",
+    "es": "dr dra prof sr sra srta d ing lic p.ej ej aprox ca vs pág núm",
+}
+NUMBERED = {
+    "en": "no nr p pp s vol art fig figs ch chap cap sec sect eq ed tab jan feb mar apr jun jul aug sep sept oct nov dec",
+    "de": "nr no s abs art abb fig kap tab bd zif ziff jan jän feb mär apr jun jul aug sep sept okt nov dez",
+    "es": "núm num no pág págs pag p art cap fig tab vol sec ene feb mar abr may jun jul ago sep sept oct nov dic",
+}
+UNLESS_SMALL = {
+    "en": "etc a.m p.m inc ltd co corp jr ph.d m.a b.a u.s u.k e.u u.n d.c ff",
+    "de": "usw usf etc ff m.a b.a u.s",
+    "es": "etc a.m p.m ee.uu u.e",
+}
+MONTHS = {
+    "en": "january february march april may june july august september october november december",
+    "de": "januar jänner februar märz april mai juni juli august september oktober november dezember jahrhundert",
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+}
+#: Frequent words that tell the language of a paragraph.
+TELLING = {
+    "en": "the of and to in is was for that with on as it be by at this are not or from",
+    "de": "der die das und den von zu mit sich des auf für ist im dem nicht ein eine als auch wurde am",
+    "es": "el la los las de que y en un una por con para del se es no al lo como",
+}
+_LISTS = {lang: tuple(frozenset(t[lang].split()) for t in (NEVER, NUMBERED, UNLESS_SMALL, MONTHS)) for lang in NEVER}
+_TELLING = {lang: frozenset(words.split()) for lang, words in TELLING.items()}
+_ANY = frozenset().union(*(lists[i] for lists in _LISTS.values() for i in range(3)))
+_VOWEL = regex.compile(r"[aeiouyàáâäèéêëìíîïòóôöùúûü]")
 #: Words that start a sentence even after an upper-case abbreviation such as U.S.
 STARTERS = frozenset("The A An It This That These Those We They He She You There In On At But And If When After Since Every Our One No Never".split())
-_SHORT = ALWAYS | BEFORE_NUMBER | UNLESS_LOWER
 
 _LINE = regex.compile(r"[^\n\r\x85  ]*(?:\r\n|[\n\r\x85  ]|\Z)")
 _FENCE = regex.compile(r"[ \t]*(`{3,}|~{3,})")
@@ -125,17 +136,31 @@ def quotations(text: str, low: int, high: int) -> list[tuple[int, int]]:
     return found
 
 
-def _is_abbreviation(text: str, low: int, dot: int, after: str, following: str) -> bool:
+def language_of(paragraph: str, tagged: str | None) -> str:
+    """The language whose abbreviations hold in a paragraph: that of most of its telling words; where none or as many, that of the tag, else English."""
+    words = regex.findall(r"\p{L}+", paragraph.lower())
+    votes = {lang: sum(w in telling for w in words) for lang, telling in _TELLING.items()}
+    most = max(votes.values())
+    first = [lang for lang, n in votes.items() if n == most]
+    tag = (tagged or "").lower()[:2]
+    return first[0] if len(first) == 1 else tag if tag in first else first[0]
+
+
+def _is_abbreviation(text: str, low: int, dot: int, after: str, following: str, language: Callable[[], str]) -> bool:
     """Whether the full stop at ``dot`` only marks a short form; ``after`` and ``following``: the next letter and word."""
     m = _WORD_BEFORE.search(text, max(low, dot - 24), dot)
     word = m[0] if m else ""
     key = word.lower().rstrip(".")
     if not key:
         return False
-    if key not in _SHORT and "." in key and key.rsplit(".", 1)[1] in _SHORT:  # the blank before the short form was lost
+    if key not in _ANY and "." in key and key.rsplit(".", 1)[1] in _ANY:  # the blank before the short form was lost
         word = word.rstrip(".").rsplit(".", 1)[1]
         key = word.lower()
-    small = after.islower() and following not in SMALL_NAMES
+    small = after.islower()
+    if key in _ANY or key.isdigit():
+        never, numbered, unless_small, months = _LISTS[language()]
+    else:
+        never = numbered = unless_small = months = frozenset()
     if len(key) == 1 and key.isalpha():
         pair = text[max(low, dot - 4) : dot].lower()
         if regex.search(r"(?:^|\W)[ap]\.\s?m$", pair):
@@ -143,22 +168,29 @@ def _is_abbreviation(text: str, low: int, dot: int, after: str, following: str)
         if regex.search(r"(?:^|\W)(?:z\.\s?b|d\.\s?h|u\.\s?a|i\.\s?e|e\.\s?g)$", pair):
             return True
         return word.isupper() or small or after.isdigit() or following.lower() in ("ej", "m", "b", "h", "a", "g", "e")
-    if key in ALWAYS:
+    if key in never:
         return True
-    if key in BEFORE_NUMBER:
+    if key in numbered:
         return after.isdigit() or small
-    if key in UNLESS_LOWER:
+    if key in unless_small:
         if small:
             return True
         return word.isupper() and "." in word and following not in STARTERS and after.isupper() and key not in ("a.m", "p.m")
     if key.isdigit() and len(key) <= 2:
-        return following.lower() in MONTHS
+        return following.lower() in months
     if "." in key and all(len(p) == 1 and p.isalpha() for p in key.split(".")):
         return small or (word.isupper() and following not in STARTERS)
     return False
 
 
-def _breaks(text: str, low: int, high: int, run: str, dot: int, end: int, quoted: bool) -> bool:
+def _plain_word(text: str, low: int, dot: int) -> bool:
+    """Whether a whole word stands before the full stop: two letters or more, a vowel among them, the short form of no language."""
+    m = _WORD_BEFORE.search(text, max(low, dot - 40), dot)
+    word = m[0].lower() if m else ""
+    return len(word) > 1 and word.isalpha() and word not in _ANY and _VOWEL.search(word) is not None
+
+
+def _breaks(text: str, low: int, high: int, run: str, dot: int, end: int, quoted: bool, language: Callable[[], str]) -> bool:
     """Whether a sentence ends at ``end``, after the terminators ``run`` (the last one at ``dot``) and what closes behind them."""
     nxt = _BLANKS.match(text, end, high).end()
     if nxt >= high:
@@ -171,7 +203,7 @@ def _breaks(text: str, low: int, high: int, run: str, dot: int, end: int, quoted
     m = _WORD_AFTER.match(text, letter, high)
     following = m[0].rstrip(".") if m else ""
     after = text[letter]
-    small = after.islower() and following not in SMALL_NAMES and not (following and following != following.lower()) and not _FILE.match(text, letter, high)
+    small = after.islower() and not (following and following != following.lower()) and not _FILE.match(text, letter, high)
     last = run[-1]
     if not spaced:
         if quoted and regex.match(r"[\p{Hiragana}\p{Hangul}]", after):
@@ -188,23 +220,26 @@ def _breaks(text: str, low: int, high: int, run: str, dot: int, end: int, quoted
                 return True
             word = _WORD_BEFORE.search(text, max(low, dot - 24), dot)
             tail = regex.search(r"[\p{L}\p{N}]+$", word[0]) if word else None
-            return bool(tail) and len(tail[0]) > 1 and not _is_abbreviation(text, low, dot, after, following) and not _FILE.match(text, word.start(), high)
+            return bool(tail) and len(tail[0]) > 1 and not _is_abbreviation(text, low, dot, after, following, language) and not _FILE.match(text, word.start(), high)
         return True
     if quoted and small:
         return False
     if last == ".":
         if len(run) > 1:
             return not small
-        if end == dot + 1 and _is_abbreviation(text, low, dot, after if not opened else " ", following):
+        if end == dot + 1 and _is_abbreviation(text, low, dot, after if not opened else " ", following, language):
             return False
         before = text[dot - 1] if dot > low else " "
         caseless = before.isalpha() and not before.islower() and not before.isupper()
-        return not small or caseless or bool(opened)
+        return not small or caseless or bool(opened) or _plain_word(text, low, dot)
     return True
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """``(start, end)`` of the sentences of ``text`` in code points, without white space at either end."""
+def sentences(text: str, lang: str | None = None) -> list[tuple[int, int]]:
+    """``(start, end)`` of the sentences of ``text`` in code points, without white space at either end.
+
+    ``lang`` counts only where the words of a paragraph do not tell its language.
+    """
     out = []
 
     def add(a: int, b: int) -> None:
@@ -219,6 +254,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
             add(low, high)
             continue
         quotes = quotations(text, marker, high)
+        language = functools.cache(lambda a=marker, b=high: language_of(text[a:b], lang))
         cuts, q, limit = [], 0, marker
         for m in _TERMINATOR.finditer(text, marker, high):
             s, e = m.span()
@@ -239,7 +275,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
             if stop > end and text[end] in "'’" and stop < high and text[stop].isalpha():
                 stop = end
             quoted, end, limit = quoted or stop > end, stop, max(e, stop)
-            if _breaks(text, marker, high, m[0], e - 1, end, quoted):
+            if _breaks(text, marker, high, m[0], e - 1, end, quoted, language):
                 cuts.append(end)
         if _THAI_GAP.search(text, marker, high):
             for m in _THAI_GAP.finditer(text, marker, high):
@@ -254,20 +290,23 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def split_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def split_sentences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """``id_col, sentence_no, start_pos, end_pos``: every sentence of every text in order, as 0-based code points.
 
     Null, empty and blank texts give no sentence.  Repeated rows count once;
-    rows of one id that differ are split separately.  The rules look at the text
-    alone, so a missing or wrong language tag changes nothing.  Other columns are
-    ignored.
+    of rows of one id that differ, the one with the greatest list of sentences
+    counts.  The language tag (any case, may be missing or wrong, ``lang_col`` may
+    be None) only settles which abbreviations hold in paragraphs whose words do not
+    tell.  Other columns are ignored.
     """
-    rows = df.select(F.col(id_col), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull() & (F.col("_text") != "")).distinct()
+    lang = F.lit(None).cast("string") if lang_col is None else F.col(lang_col)
 
     @F.pandas_udf("array<struct<start_pos:int,end_pos:int>>")
-    def spans(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"start_pos": a, "end_pos": b} for a, b in sentences(t)] for t in texts])
+    def spans(texts: pd.Series, langs: pd.Series) -> pd.Series:
+        return pd.Series([[{"start_pos": a, "end_pos": b} for a, b in sentences(t, tag)] for t, tag in zip(texts, langs, strict=True)])
 
-    return rows.select(F.col(id_col), F.posexplode(spans("_text")).alias("sentence_no", "s")).select(
+    rows = df.select(F.col(id_col), F.col(text_col).alias("_text"), lang.alias("_lang")).filter(F.col("_text").isNotNull() & (F.col("_text") != ""))
+    found = rows.select(F.col(id_col), spans("_text", "_lang").alias("s")).groupBy(id_col).agg(F.max("s").alias("s"))
+    return found.select(F.col(id_col), F.posexplode("s").alias("sentence_no", "s")).select(
         id_col, "sentence_no", F.col("s.start_pos").alias("start_pos"), F.col("s.end_pos").alias("end_pos")
     )
