@@ -82,14 +82,14 @@ def state_changes(before: DataFrame, after: DataFrame, key: str, value: str) ->
     return a.join(b, key, "full_outer").select(key, change.alias("change")).filter(F.col("change").isNotNull())
 
 
-def longest_prefix(df: DataFrame, path_col: str, prefixes: DataFrame, prefix_col: str, value_col: str, depth: int = 12) -> DataFrame:
+def longest_prefix(df: DataFrame, path_col: str, prefixes: DataFrame, prefix_col: str, value_col: str) -> DataFrame:
     """``df`` with ``value_col`` of the longest prefix of whole path segments, null where none fits.
 
-    Every path offers its own prefixes, ``depth`` at most, so the match is an equi-join
-    and never compares all paths with all prefixes.
+    Every path offers all of its own prefixes, so the match is an equi-join and never
+    compares all paths with all prefixes.
     """
     parts = F.split(F.col(path_col), "/")
-    n = F.least(F.size(parts), F.lit(depth))
+    n = F.size(parts)
     own = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     asked = df.select(path_col).filter(F.col(path_col).isNotNull()).distinct().select(path_col, F.explode(own).alias(prefix_col))
     hit = asked.join(prefixes.select(prefix_col, value_col), prefix_col).groupBy(path_col)
