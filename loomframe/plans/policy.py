@@ -94,7 +94,20 @@ def l4_latest_event(spark, d):
     return latest_rows(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"])
 
 
-@query("s7_document_chunks")
+@query(
+    "s7_document_chunks",
+    r"""WITH d AS (SELECT doc_id, max(text) AS text FROM documents GROUP BY doc_id),
+m AS (SELECT doc_id, string_split_regex(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n|\r', chr(10), 'g'),
+  '(?m)^(#{1,6})[\t ]+(.+?)[\t ]*#*[\t ]*$', chr(10) || chr(10) || '\0' || chr(10) || chr(10), 'g'), '\n(?:[\t ]*\n)+') AS l FROM d),
+b AS (SELECT doc_id, i, regexp_replace(l[i], '^\s+|\s+$', '', 'g') AS t FROM m, LATERAL (SELECT unnest(generate_series(1, len(l))) AS i)),
+h AS (SELECT *, length(regexp_extract(t, '^(#{1,6})[\t ]+(.+?)[\t ]*#*[\t ]*$', 1)) AS v, regexp_extract(t, '^(#{1,6})[\t ]+(.+?)[\t ]*#*[\t ]*$', 2) AS title FROM b WHERE t <> ''),
+p AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS position FROM h WHERE v = 0),
+c AS (SELECT p.doc_id, p.i, h.i AS hi, h.v, h.title FROM p JOIN h ON h.doc_id = p.doc_id AND h.i < p.i AND h.v > 0
+  WHERE NOT EXISTS (SELECT 1 FROM h AS k WHERE k.doc_id = p.doc_id AND k.i > h.i AND k.i < p.i AND k.v BETWEEN 1 AND h.v)),
+s AS (SELECT doc_id, i, string_agg(title, ' > ' ORDER BY hi) AS path FROM c GROUP BY 1, 2)
+SELECT CAST(d.doc_id AS VARCHAR) AS slug, '{}' AS frontmatter, CAST(p.position AS INTEGER) AS position, s.path AS heading_path, p.t AS text
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN s ON s.doc_id = p.doc_id AND s.i = p.i""",
+)
 def s7_document_chunks(spark, d):
     files = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("slug"), F.col("text").alias("content"))
     return parse_pages(files)
