@@ -137,3 +137,10 @@ def asset_name(url: Column) -> Column:
     """``sha1(url)[:16]`` and the extension of its path, ``.bin`` where there is none."""
     ext = F.lower(F.regexp_extract(url, r"^[^?#]*/[^/?#]*(\.[A-Za-z0-9]{1,5})(?:[?#].*)?$", 1))
     return F.concat(F.substring(F.sha1(url), 1, 16), F.when(ext == "", F.lit(".bin")).otherwise(ext))
+
+
+def cut_at_line(text: Column, size: int) -> Column:
+    """``text`` up to ``size`` characters, cut back to the last line end within them where there is one."""
+    head = F.substring(text, 1, size)
+    at = F.instr(F.reverse(head), "\n")
+    return F.when(F.char_length(text) <= size, text).when(at > 0, F.substr(head, F.lit(1), F.lit(size) - at)).otherwise(head)

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from loomframe.functions.scalar import query_tokens, tokens
 from loomframe.operators.ranking import RRF_K, best_per_group, fuse
+from loomframe.session import cut_lineage
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 #: Rows fetched per page wanted, in each mode.
@@ -23,7 +24,8 @@ def bm25(chunks: DataFrame, query: str, id_col: str = "chunk_id", text_col: str
 
     Corpus statistics cover all chunks.  The words of a chunk are counted in place by
     column expressions: no posting is exploded and only the matching chunks leave the
-    scan.  A word written twice in the query counts twice; a word in more than half
+    scan.  Repeated rows count once: they are dropped after counting, so no text is
+    shuffled, and the counts are written once for both uses.  A word written twice in the query counts twice; a word in more than half
     of all chunks keeps a tiny weight.
     """
     words = query_tokens(query)
@@ -33,9 +35,10 @@ def bm25(chunks: DataFrame, query: str, id_col: str = "chunk_id", text_col: str
         return F.size(F.filter("_t", lambda t: t == F.lit(word)))
 
     counted = [times(w).alias(f"_f{i}") for i, w in enumerate(words)]
-    base = base.select(id_col, *keep, F.size("_t").alias("_dl"), *counted)
+    base = base.select(id_col, *keep, F.size("_t").alias("_dl"), *counted).distinct()
     if not words:
         return base.filter(F.lit(False)).select(id_col, *keep, F.lit(0.0).alias("score"))
+    base = cut_lineage(base)
     seen = [F.sum(F.when(F.col(f"_f{i}") > 0, 1).otherwise(0)).alias(f"_n{i}") for i in range(len(words))]
     stats = base.agg(F.count(F.lit(1)).alias("_N"), F.avg("_dl").alias("_avg"), *seen)
     hits = base.filter(F.greatest(*[F.col(f"_f{i}") for i in range(len(words))], F.lit(0)) > 0).crossJoin(F.broadcast(stats))
@@ -113,6 +116,25 @@ def nearest(base: DataFrame, queries: DataFrame, k: int, base_rows: int = 16_384
     return found.distinct().withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
 
 
+def finite_vectors(cache: DataFrame) -> DataFrame:
+    """``vec_id, content_hash, signature, vector`` of the whole and finite vectors, each row once."""
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return cache.filter(F.col("signature").isNotNull() & (F.size("vector") == F.col("dim")) & finite).select("vec_id", "content_hash", "signature", "vector").distinct()
+
+
+def semantic_pages(rows: DataFrame, asked: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """``query_id, page_id, distance, rank``: the ``k`` pages nearest to each query vector within its signature, each by its nearest chunk.
+
+    ``rows`` and ``asked`` are ``finite_vectors``; a vector belongs to the chunks whose
+    text has its hash.  ``k * 8`` vectors are fetched, then collapsed to pages.
+    """
+    near = nearest(rows, asked, k * DEPTH, vector_col="vector", by=("signature",))
+    held = chunks.select("page_id", F.sha1("text").alias("content_hash")).distinct()
+    pages = near.join(rows.select("vec_id", "content_hash"), "vec_id").join(held, "content_hash").groupBy("query_id", "page_id").agg(F.min("distance").alias("distance"))
+    order = Window.partitionBy("query_id").orderBy(F.round("distance", 9), "page_id")
+    return pages.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k).select("query_id", "page_id", "distance", "rank")
+
+
 def hybrid(lexical: DataFrame, semantic: DataFrame | None, neighbours: DataFrame | None, k: int) -> DataFrame:
     """``page_id, score, rank``: fused ranks, then a nudge by graph distance from the best fused pages.
 

@@ -143,9 +143,10 @@ def a6_age_median(spark, d):
     return A.upper_median(pages_now(spark, d).select("space", age.alias("age")), "space", "age")
 
 
-@query("a10_shared_hashes", f"WITH {PG} SELECT content_hash, count(DISTINCT page_id) AS n FROM pg WHERE content_hash IS NOT NULL GROUP BY 1 HAVING count(DISTINCT page_id) > 1")
+@query("a10_shared_hashes", f"SELECT sha, count(DISTINCT memory_id) AS n FROM (SELECT memory_id, lower(body_sha) AS sha FROM {MEM}) WHERE sha IS NOT NULL GROUP BY 1 HAVING count(DISTINCT memory_id) > 1")
 def a10_shared_hashes(spark, d):
-    return A.duplicate_values(pages_now(spark, d), "content_hash", "page_id")
+    rows = memories(spark, d).select("memory_id", F.lower("body_sha").alias("sha"))
+    return A.duplicate_values(rows, "sha", "memory_id")
 
 
 @query("a11_document_frequency", "SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'))) AS term FROM documents) GROUP BY term")
@@ -155,8 +156,8 @@ def a11_document_frequency(spark, d):
 
 @query(
     "a16_fingerprint",
-    f"""WITH {PG}, b AS (SELECT regexp_extract(slug, '^(.*)/[^/]*$', 1) AS folder, substr(sha1(slug), 1, 3) AS b, sha256(string_agg(slug || chr(0) || coalesce(content_hash, ''), chr(10) ORDER BY slug || chr(0) || coalesce(content_hash, ''))) AS h, count(*) AS n FROM pg GROUP BY 1, 2)
-SELECT folder, sha256(string_agg(b || ':' || h, chr(10) ORDER BY b || ':' || h)) AS fingerprint, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY 1""",
+    f"""WITH {PG}, h AS (SELECT regexp_extract(slug, '^(.*)/[^/]*$', 1) AS folder, sha1(slug || chr(0) || coalesce(content_hash, '')) AS h FROM pg)
+SELECT folder, CAST(sum(CAST(CAST('0x' || substr(h, 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) || ':' || CAST(sum(CAST(CAST('0x' || substr(h, 16, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS fingerprint, count(*) AS n FROM h GROUP BY 1""",
 )
 def a16_fingerprint(spark, d):
     rows = pages_now(spark, d).select(F.regexp_extract("slug", r"^(.*)/[^/]*$", 1).alias("folder"), "slug", F.coalesce("content_hash", F.lit("")).alias("h"))

@@ -60,12 +60,12 @@ def a13_mean_metrics(spark, d):
     return one.agg(F.count(F.lit(1)).alias("n_probes"), F.round(F.avg("precision"), 6).alias("precision_at_10"), F.round(F.avg("recall"), 6).alias("recall_at_10"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"))
 
 
-@query("g4_relational", f"""WITH {LK}, {_HOPS.format(seeds='SELECT DISTINCT from_page AS page_id FROM lk WHERE from_page % 97 = 3')}, f AS (SELECT page_id, substr(text, 1, 160) AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY position, chunk_id) AS rn FROM {CH} WHERE text IS NOT NULL) WHERE rn = 1)
+@query("g4_relational", f"""WITH {LK}, {_HOPS.format(seeds='SELECT DISTINCT from_page AS page_id FROM lk WHERE from_page % 50 = 0')}, f AS (SELECT page_id, substr(text, 1, 160) AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY position, chunk_id) AS rn FROM {CH} WHERE text IS NOT NULL) WHERE rn = 1)
 SELECT hp.page_id, round(1.0 / (1 + hops), 9) AS score, f.snippet FROM hp JOIN f ON f.page_id = hp.page_id WHERE hops > 0""")
 def g4_relational(spark, d):
-    """Pages one or two links from the stated seeds, with the start of their first chunk."""
+    """Pages one or two links from the linking pages whose id is divisible by 50, with the start of their first chunk."""
     rows = link_rows(spark, d)
-    near = hops(undirected(rows), rows.filter(F.col("from_page") % 97 == 3).select(F.col("from_page").alias("page_id")), 2).filter(F.col("hops") > 0)
+    near = hops(undirected(rows), rows.filter(F.col("from_page") % 50 == 0).select(F.col("from_page").alias("page_id")), 2).filter(F.col("hops") > 0)
     first = best_per_group(chunk_rows(spark, d).filter(F.col("text").isNotNull()), "page_id", F.col("position"), F.col("chunk_id"))
     return near.join(first, "page_id").select("page_id", F.round(1.0 / (1 + F.col("hops")), 9).alias("score"), F.substring("text", 1, 160).alias("snippet"))
 
@@ -78,14 +78,9 @@ pg AS (SELECT query_id, page_id, min(far) AS far FROM nn JOIN {CH} c ON sha1(c.t
 SELECT query_id, page_id, round(far, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(far, 9), page_id) AS rn FROM pg) WHERE rn <= 5""")
 def r7_semantic_pages(spark, d):
     """For every vector whose id is divisible by 50: the five nearest pages by vectors of its signature, each by its nearest chunk."""
-    from loomframe.operators.ranking import top_per_group
-
-    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = table(spark, d, "embedding_cache").filter(F.col("signature").isNotNull() & (F.size("vector") == F.col("dim")) & finite).select("vec_id", "content_hash", "signature", "vector").distinct()
-    near = T.nearest(rows, rows.filter(F.col("vec_id") % 50 == 0), 40, vector_col="vector", by=("signature",))
-    held = chunk_rows(spark, d).select("page_id", F.sha1("text").alias("content_hash")).distinct()
-    pages = near.join(rows.select("vec_id", "content_hash"), "vec_id").join(held, "content_hash").groupBy("query_id", "page_id").agg(F.min("distance").alias("far"))
-    return top_per_group(pages, ["query_id"], 5, F.round("far", 9), F.col("page_id")).select("query_id", "page_id", F.round("far", 6).alias("distance"))
+    rows = T.finite_vectors(table(spark, d, "embedding_cache"))
+    found = T.semantic_pages(rows, rows.filter(F.col("vec_id") % 50 == 0), table(spark, d, "chunks"), 5)
+    return found.select("query_id", "page_id", F.round("distance", 6).alias("distance"))
 
 
 @query("l4_latest_event", "SELECT user_id, ts, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")

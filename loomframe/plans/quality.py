@@ -61,20 +61,22 @@ _RANKS = "SELECT to_page_id AS page_id, CAST(row_number() OVER (PARTITION BY lin
 
 @query(
     "j20_rank_changes",
-    f"""WITH {LK}, a AS ({_RANKS.format(w=f"AND seen_at < {_CUT} AND link_type = 'vault'")}), b AS ({_RANKS.format(w="AND link_type = 'vault'")})
-SELECT page_id, change FROM (SELECT a.page_id, CASE WHEN b.page_id IS NULL THEN 'removed' WHEN b.rank > a.rank THEN 'rank_drop' END AS change FROM a LEFT JOIN b ON a.page_id = b.page_id) WHERE change IS NOT NULL""",
+    f"""WITH {LK}, a AS ({_RANKS.format(w=f"AND seen_at < {_CUT}")}), b AS ({_RANKS.format(w="")})
+SELECT subject, change FROM (SELECT a.link_type || ':' || a.page_id AS subject, CASE WHEN b.page_id IS NULL THEN 'removed' WHEN b.rank > a.rank THEN 'rank_drop' END AS change
+FROM a LEFT JOIN b ON a.page_id = b.page_id AND a.link_type = b.link_type) WHERE change IS NOT NULL""",
 )
 def j20_rank_changes(spark, d):
-    """Pages of ``vault`` links ranked by inbound links before 2026 and over all time."""
+    """Pages ranked by inbound links of each type, before 2026 and over all time."""
     from loomframe.operators.ranking import top_per_group
 
-    rows = link_rows(spark, d).filter((F.col("link_type") == "vault") & F.col("to_page_id").isNotNull())
+    rows = link_rows(spark, d).filter(F.col("to_page_id").isNotNull() & F.col("link_type").isNotNull())
 
     def ranks(part):
         n = part.groupBy("link_type", F.col("to_page_id").alias("page_id")).agg(F.count(F.lit(1)).alias("n"))
-        return top_per_group(n, ["link_type"], 1 << 60, F.col("n").desc(), F.col("page_id"))
+        ranked = top_per_group(n, ["link_type"], 1 << 60, F.col("n").desc(), F.col("page_id"))
+        return ranked.select(F.concat("link_type", F.lit(":"), F.col("page_id").cast("string")).alias("subject"), "rank")
 
-    return Q.rank_changes(ranks(rows.filter(F.col("seen_at") < F.lit("2026-01-01").cast("timestamp"))), ranks(rows), "page_id")
+    return Q.rank_changes(ranks(rows.filter(F.col("seen_at") < F.lit("2026-01-01").cast("timestamp"))), ranks(rows), "subject")
 
 
 _LEAF = "SELECT coalesce(page_type, '(absent)') || '.' || coalesce(space, '(absent)') AS path, CAST(count(*) AS DOUBLE) AS value FROM ({t}) GROUP BY 1"
@@ -134,9 +136,13 @@ def q25_term_clusters(spark, d):
     return M.term_clusters(_terms(spark, d), "memory_id", "terms", "project")
 
 
-@query("f8_alias_jaccard", "SELECT e.entity_id, x.entity_id AS other, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM (SELECT entity_id, list_distinct(regexp_extract_all(lower(canonical_slug), '[a-z0-9]+')) AS a FROM entities) e JOIN (SELECT entity_id, list_distinct(regexp_extract_all(lower(canonical_slug), '[a-z0-9]+')) AS b FROM entities) x ON x.entity_id = e.entity_id + 1")
-def f8_alias_jaccard(spark, d):
-    words = F.array_distinct(S.tokens(F.col("canonical_slug"), "[a-z0-9]+"))
-    a = table(spark, d, "entities").select("entity_id", words.alias("a"))
-    b = table(spark, d, "entities").select((F.col("entity_id") - 1).alias("entity_id"), F.col("entity_id").alias("other"), words.alias("b"))
-    return a.join(b, "entity_id").select("entity_id", "other", F.round(S.jaccard(F.col("a"), F.col("b")), 6).alias("similarity"))
+@query(
+    "f8_jaccard",
+    f"""SELECT memory_id, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) END AS similarity
+FROM (SELECT memory_id, list_distinct(regexp_extract_all(lower(name), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(description), '[a-z0-9]+')) AS b FROM {MEM} WHERE name IS NOT NULL AND description IS NOT NULL)""",
+)
+def f8_jaccard(spark, d):
+    """How far the name and the description of every memory share their words."""
+    words = lambda c: F.array_distinct(S.tokens(F.col(c), "[a-z0-9]+"))
+    rows = memories(spark, d).filter(F.col("name").isNotNull() & F.col("description").isNotNull())
+    return rows.select("memory_id", F.round(F.coalesce(S.jaccard(words("name"), words("description")), F.lit(0.0)), 6).alias("similarity"))

@@ -10,6 +10,7 @@ from loomframe.operators import retrieval as T
 from loomframe.plans.joins import LK, PG, link_rows, pages_now
 from loomframe.plans.registry import query
 from loomframe.plans.scalars import CH, chunk_rows
+from loomframe.session import cut_lineage
 from loomframe.tables import table
 
 QUERY = "stale wikilink projection backup"
@@ -32,12 +33,12 @@ p{k} AS (SELECT page_id, chunk_id, score, row_number() OVER (ORDER BY score, chu
 
 @query("r2_bm25_chunks", f"WITH {_bm25_sql(WORDS)} SELECT chunk_id, page_id, round(score, 6) AS score FROM bm")
 def r2_bm25_chunks(spark, d):
-    return T.bm25(chunk_rows(spark, d), QUERY).withColumn("score", F.round("score", 6))
+    return T.bm25(table(spark, d, "chunks"), QUERY).withColumn("score", F.round("score", 6))
 
 
 @query("r3_lexical_pages", f"WITH {_bm25_sql(WORDS)}, {_PAGES.format(k=1, src='bm', n=160)} SELECT page_id, chunk_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM p1 WHERE rank < 20")
 def r3_lexical_pages(spark, d):
-    return T.ranked_pages(T.bm25(chunk_rows(spark, d), QUERY), 20).withColumn("score", F.round("score", 6))
+    return T.ranked_pages(T.bm25(table(spark, d, "chunks"), QUERY), 20).withColumn("score", F.round("score", 6))
 
 
 @query("r5_contains", f"SELECT chunk_id, substr(text, greatest(instr(lower(text), 'mirror of the') - 30, 1), 120) AS snippet FROM {CH} WHERE contains(lower(text), 'mirror of the')")
@@ -63,11 +64,11 @@ h2 AS (SELECT DISTINCT b AS page_id FROM ed WHERE a IN (SELECT page_id FROM h1)
 hp AS (SELECT page_id, 0 AS hops FROM h0 UNION ALL SELECT page_id, 1 FROM h1 UNION ALL SELECT page_id, 2 FROM h2)"""
 
 
-@query("g3_hops", f"WITH {LK}, {_HOPS.format(seeds='SELECT DISTINCT from_page AS page_id FROM lk WHERE from_page % 97 = 3')} SELECT page_id, CAST(hops AS INT) AS hops FROM hp")
+@query("g3_hops", f"WITH {LK}, {_HOPS.format(seeds='SELECT DISTINCT from_page AS page_id FROM lk WHERE from_page % 50 = 0')} SELECT page_id, CAST(hops AS INT) AS hops FROM hp")
 def g3_hops(spark, d):
-    """Distances up to two links from every page whose id leaves 3 when divided by 97 (the stated seeds)."""
+    """Distances up to two links from every linking page whose id is divisible by 50."""
     rows = link_rows(spark, d)
-    return G.hops(G.undirected(rows), rows.filter(F.col("from_page") % 97 == 3).select(F.col("from_page").alias("page_id")), 2)
+    return G.hops(G.undirected(rows), rows.filter(F.col("from_page") % 50 == 0).select(F.col("from_page").alias("page_id")), 2)
 
 
 @query("g1_neighbours", f"WITH {PG}, {LK} SELECT DISTINCT a.slug AS slug, b.slug AS neighbour, dir FROM (SELECT from_page AS x, to_page_id AS y, 'out' AS dir FROM lk UNION ALL SELECT to_page_id, from_page, 'in' FROM lk) l JOIN pg a ON a.page_id = l.x JOIN pg b ON b.page_id = l.y")
@@ -92,8 +93,10 @@ def g5_components(spark, d):
 
 @query(
     "r8_hybrid",
-    f"""WITH {_bm25_sql(WORDS)}, {LK}, {_PAGES.format(k=1, src='bm', n=320)}, {_bm25_sql(['ledger', 'gateway'], 'bn').replace('tk AS', 'tk2 AS').replace('FROM tk)', 'FROM tk2)').replace('fq AS', 'fq2 AS').replace('FROM fq)', 'FROM fq2)').replace('FROM fq, st', 'FROM fq2, st2').replace('st AS', 'st2 AS')},
-{_PAGES.format(k=2, src='bn', n=320)},
+    f"""WITH {_bm25_sql(WORDS)}, {LK}, {_PAGES.format(k=1, src='bm', n=320)},
+ok AS (SELECT DISTINCT vec_id, content_hash, signature, CAST(vector AS DOUBLE[]) AS v FROM embedding_cache WHERE vector IS NOT NULL AND len(vector) = dim AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+qv AS (SELECT * FROM ok ORDER BY vec_id LIMIT 1), nn AS (SELECT ok.vec_id, ok.content_hash, list_distance(qv.v, ok.v) AS far FROM ok, qv WHERE ok.signature = qv.signature AND ok.vec_id <> qv.vec_id ORDER BY far, ok.vec_id LIMIT 320),
+vp AS (SELECT page_id, round(min(far), 9) AS far FROM nn JOIN {CH} c ON sha1(c.text) = nn.content_hash GROUP BY page_id), p2 AS (SELECT page_id, row_number() OVER (ORDER BY far, page_id) - 1 AS rank FROM vp),
 ml AS (SELECT page_id, rank, 0 AS mode FROM p1 WHERE rank < 40 UNION ALL SELECT page_id, rank, 1 FROM p2 WHERE rank < 40),
 fu AS (SELECT page_id, sum(1.0 / (60 + rank)) AS score, min(mode * 1000 + rank) AS first FROM ml GROUP BY page_id),
 {_HOPS.format(seeds='SELECT page_id FROM (SELECT page_id, row_number() OVER (ORDER BY round(score, 12) DESC, first, page_id) AS rn FROM fu) WHERE rn <= 10')},
@@ -101,9 +104,12 @@ al AS (SELECT coalesce(fu.page_id, hp.page_id) AS page_id, round(coalesce(score,
 SELECT page_id, round(score, 9) AS score, CAST(rn - 1 AS INT) AS rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, first, page_id) AS rn FROM al) WHERE rn <= 20""",
 )
 def r8_hybrid(spark, d):
-    """Two lexical lists fused by reciprocal rank, nudged by link distance from the ten best."""
-    chunks, links = chunk_rows(spark, d), link_rows(spark, d)
-    one, two = T.ranked_pages(T.bm25(chunks, QUERY), 40), T.ranked_pages(T.bm25(chunks, "ledger gateway"), 40)
+    """The lexical list of a query and the pages nearest to a query vector (that of the smallest vec_id), fused by reciprocal rank, nudged by link distance from the ten best."""
+    links = link_rows(spark, d)
+    one = cut_lineage(T.ranked_pages(T.bm25(table(spark, d, "chunks"), QUERY), 40))
+    rows = T.finite_vectors(table(spark, d, "embedding_cache"))
+    asked = rows.orderBy("vec_id").limit(1)
+    two = cut_lineage(T.semantic_pages(rows, asked, table(spark, d, "chunks"), 40).select("page_id", "rank"))
     seeds = T.hybrid(one, two, None, 10)
     near = G.hops(G.undirected(links), seeds, 2)
     return T.hybrid(one, two, near, 20).withColumn("score", F.round("score", 9))
@@ -118,7 +124,7 @@ SELECT page_id, round(sum(1.0 / (60 + rank)), 9) AS score, CAST(min(mode * 1000
 def w3_rrf_fuse(spark, d):
     from pyspark.sql.window import Window
 
-    chunks = chunk_rows(spark, d)
+    chunks = table(spark, d, "chunks")
     one = T.ranked_pages(T.bm25(chunks, QUERY), 40)
     longest = chunks.groupBy("page_id").agg(F.max(F.char_length("text")).alias("m")).orderBy(F.col("m").desc_nulls_last(), "page_id").limit(40)
     two = longest.withColumn("rank", F.row_number().over(Window.orderBy(F.col("m").desc_nulls_last(), "page_id")) - 1)
