@@ -12,6 +12,8 @@ that probability, until the expected tokens of the document's domain are met.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -81,31 +83,39 @@ def fit_steps(docs: DataFrame, targets: list[float], total: float, rounds: int =
     that source can offer, and clips the rate to ``[0, cap]``; the driver sees one
     sum per source and round.  Documents of equal membership and cap have equal
     rates, so the sums run over such classes.  The steps end when no source that
-    has documents is off by more than ``tolerance`` of the total, or after ``rounds``.
+    has documents is off by more than ``tolerance`` of the total, when a step takes less
+    than a twentieth off the largest error (the caps allow no more), or after ``rounds``.
     """
     k = len(targets)
     if not k:
         return [], []
     classes = cut_lineage(docs.groupBy("membership", "cap").agg(F.sum("n_tokens").alias("n_tokens")))
-    sums = lambda factor: [v or 0.0 for v in classes.agg(*[F.sum(F.col("membership")[i] * F.col("n_tokens") * factor) for i in range(k)]).first()]
-    available = sums(F.col("cap"))
+    sums = lambda state, factor: [v or 0.0 for v in state.agg(*[F.sum(F.col("membership")[i] * F.col("n_tokens") * F.col(factor)) for i in range(k)]).first()]
+    available = sums(classes, "cap")
     steps = [[min(1.0, t * total / a) if a > 0 else 0.0 for t, a in zip(targets, available, strict=True)]]
-    for _ in range(rounds):
-        error = [t * total - got for t, got in zip(targets, sums(rate_of(steps)), strict=True)]
-        if total <= 0 or max((abs(e) for e, a in zip(error, available, strict=True) if a > 0), default=0.0) <= tolerance * total:
+    state, before = classes.withColumn("rate", rate_of(steps)), math.inf
+    for n in range(rounds):
+        error = [t * total - got for t, got in zip(targets, sums(state, "rate"), strict=True)]
+        worst = max((abs(e) for e, a in zip(error, available, strict=True) if a > 0), default=0.0)
+        if total <= 0 or worst <= tolerance * total or worst > 0.95 * before:
             break
+        before = worst
         steps.append([e / a if a > 0 else 0.0 for e, a in zip(error, available, strict=True)])
+        state = state.withColumn("rate", rate_of(steps[-1:], F.col("rate")))
+        if n % 4 == 3:
+            state = cut_lineage(state)
     return steps, error
 
 
-def rate_of(steps: list[list[float]]) -> Column:
-    """The rate of a document after ``steps``, from its ``membership`` and ``cap``."""
+def rate_of(steps: list[list[float]], start: Column | None = None) -> Column:
+    """The rate of a document after ``steps`` from ``start``, by default 0, with its ``membership`` and ``cap``."""
+    start = F.lit(0.0) if start is None else start
     if not steps:
-        return F.lit(0.0)
+        return start
     path = F.array(*[F.array(*[F.lit(float(v)) for v in step]) for step in steps])
     cap = F.col("cap").cast("double")
     move = lambda step: F.aggregate(F.zip_with("membership", step, lambda m, e: m * e), F.lit(0.0), lambda s, v: s + v)
-    return F.aggregate(path, F.lit(0.0), lambda rate, step: F.greatest(F.lit(0.0), F.least(cap, rate + cap * move(step))))
+    return F.aggregate(path, start, lambda rate, step: F.greatest(F.lit(0.0), F.least(cap, rate + cap * move(step))))
 
 
 def mix(
@@ -151,7 +161,8 @@ def mix(
     docs = cut_lineage(
         sized.groupBy("_id").agg(F.max("d").alias("d")).select("_id", "d.*").withColumn("cap", F.coalesce(caps[F.col("domain")], F.lit(0))).filter(F.col("n_tokens") > 0)
     )
-    sizes = {r["domain"]: float(r["t"]) for r in docs.groupBy("domain").agg(F.sum(F.col("n_tokens") * F.col("cap")).alias("t")).collect()}
+    offer = docs.agg(*[F.sum(F.col("membership")[i] * F.col("n_tokens") * F.col("cap")).alias(n) for i, n in enumerate(names)]).first() if names else []
+    sizes = {n: v or 0.0 for n, v in zip(names, offer, strict=True)}
     held = [n for n in names if sizes.get(n, 0) > 0 and want[n][0] > 0]
     scale = sum(want[n][0] for n in held) or 1.0
     share = {n: (want[n][0] / scale if n in held else 0.0) for n in names}
