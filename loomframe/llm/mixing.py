@@ -171,13 +171,14 @@ def mix(
     return whole_uses(docs.withColumn("rate", rate_of(steps))).withColumnRenamed("_id", id_col)
 
 
-def whole_uses(rated: DataFrame, buckets: int = 4096) -> DataFrame:
+def whole_uses(rated: DataFrame, buckets: int = 4096, repairs: int = 4) -> DataFrame:
     """``rated`` (``_id, source, n_tokens, domain, membership, cap, rate``) with whole numbers of ``uses``.
 
     ``floor(rate)`` uses are sure.  One more is drawn with the probability of the
     fraction: documents are taken in the order of a uniform hash divided by their
-    fraction, until the tokens that the fractions of their domain let expect are
-    met.  The order is cut into ``buckets`` whose token sums are cumulated per domain,
+    fraction, as long as the tokens that the fractions of their domain let expect are
+    not exceeded; what is still lacking is filled by the longest document per domain
+    that fits, ``repairs`` times.  The order is cut into ``buckets`` whose token sums are cumulated per domain,
     and only the bucket in which the expectation falls is ordered row by row.
     """
     sure = F.floor(F.col("rate") + F.lit(1e-9))
@@ -192,12 +193,19 @@ def whole_uses(rated: DataFrame, buckets: int = 4096) -> DataFrame:
     edge = sums.select("domain", "b", (F.sum("expected").over(whole) - F.sum("more").over(order) + F.col("more")).alias("room"), F.col("more").alias("bucket_more"))
     placed = draw.join(F.broadcast(edge), ["domain", "b"])
     full, near = F.col("room") >= F.col("bucket_more"), (F.col("room") > 0) & (F.col("room") < F.col("bucket_more"))
-    columns = ["_id", "source", "n_tokens", "domain", "membership", "base", "extra"]
+    columns = ["_id", "source", "n_tokens", "domain", "membership", "base", "part", "extra"]
     clear = placed.filter(~near).withColumn("extra", F.when(full & (F.col("b") >= 0), 1).otherwise(0)).select(columns)
     row = Window.partitionBy("domain", "b").orderBy("turn", "_id")
-    last = placed.filter(near).withColumn("c", F.sum("n_tokens").over(row) - F.col("n_tokens") / 2)
-    last = last.withColumn("extra", F.when(F.col("c") <= F.col("room"), 1).otherwise(0)).select(columns)
-    out = clear.unionByName(last).withColumn("uses", (F.col("base") + F.col("extra")).cast("int"))
+    last = placed.filter(near).withColumn("extra", F.when(F.sum("n_tokens").over(row) <= F.col("room") + 0.5, 1).otherwise(0)).select(columns)
+    out = cut_lineage(clear.unionByName(last))
+    for _ in range(repairs):
+        lack = out.groupBy("domain").agg(F.sum((F.col("part") - F.col("extra")) * F.col("n_tokens")).alias("lack"))
+        fits = out.filter((F.col("part") > 0) & (F.col("extra") == 0)).join(F.broadcast(lack), "domain").filter(F.col("n_tokens") <= F.col("lack") + 0.5)
+        longest = fits.groupBy("domain").agg(F.max(F.struct("n_tokens", "_id")).alias("p")).select(F.col("p._id").alias("_id"), F.lit(1).alias("more")).collect()
+        if not longest:
+            break
+        out = out.withColumn("extra", F.when(F.col("_id").isin([r["_id"] for r in longest]), 1).otherwise(F.col("extra")))
+    out = out.withColumn("uses", (F.col("base") + F.col("extra")).cast("int"))
     return out.filter(F.col("uses") > 0).select("_id", "source", "n_tokens", "domain", "uses", "membership")
 
 
