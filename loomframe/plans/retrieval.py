@@ -145,12 +145,13 @@ def _probes(spark, d):
 
     claims = pages_now(spark, d).filter((F.col("kind") == "claim") & F.col("title").isNotNull())
     probes = claims.select(F.col("page_id").alias("query_id"), F.array_distinct(F.filter(tokens(F.col("title")), lambda w: F.length(w) > 2)).alias("terms"))
-    return T.batch_lexical(chunk_rows(spark, d), probes, 10), probes
+    rows = table(spark, d, "chunks").select("chunk_id", "page_id", "position", "heading_path", "text")
+    return T.batch_lexical(rows, probes, 10), probes
 
 
 @query("q10_probe_retrieval", f"WITH {PG}, {_PROBES} SELECT query_id, chunk_id, round(score, 5) AS score FROM rk WHERE rank < 10")
 def q10_probe_retrieval(spark, d):
-    """Every claim probed by the words of its own title, all probes in one join."""
+    """Every claim probed by the words of its own title, all probes at once."""
     ranked, _ = _probes(spark, d)
     return ranked.select("query_id", "chunk_id", F.round("score", 5).alias("score"))
 
@@ -163,7 +164,7 @@ FROM g LEFT JOIN hits h ON h.query_id = g.query_id AND h.page_id = g.query_id"""
 )
 def q12_eval_self_probe(spark, d):
     ranked, probes = _probes(spark, d)
-    pages = chunk_rows(spark, d).select("chunk_id", F.col("page_id").alias("item"))
+    pages = table(spark, d, "chunks").select("chunk_id", F.col("page_id").alias("item")).distinct()
     hits = ranked.join(pages, "chunk_id").groupBy("query_id", "item").agg(F.min("rank").alias("rank"))
     gold = probes.filter(F.size("terms") > 0).select("query_id", F.col("query_id").alias("item"))
     out = T.retrieval_metrics(hits, gold, 10)
