@@ -132,8 +132,8 @@ def similar_sets(df: DataFrame, key: str, terms: str, threshold: float) -> DataF
 
 def merge_groups(df: DataFrame, key: str, terms: str, threshold: float) -> DataFrame:
     """``key, group_id, max_similarity`` of rows in a group of two or more: chains of similar sets, copies included."""
-    digest = F.sha2(F.array_join(F.array_sort(F.array_distinct(terms)), "\u0000"), 256)
-    member = df.filter(F.size(terms) > 0).select(F.col(key).alias("k"), digest.alias("s"))
+    digest = F.unhex(F.sha2(F.array_join(F.array_sort(F.array_distinct(terms)), "\u0000"), 256))
+    member = cut_lineage(df.filter(F.size(terms) > 0).select(F.col(key).alias("k"), digest.alias("s")))
     classes = member.groupBy("s").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n"))
     pairs = cut_lineage(similar_sets(df, key, terms, threshold))
     edges = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(pairs.select(F.col("b").alias("src"), F.col("a").alias("dst")))

@@ -30,3 +30,23 @@ def test_similar_sets_equal_all_pairs_and_no_join_lists_pairs_by_term(spark, mon
             joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
             assert len(joins) == 2, "only the sets of the pairs that are left are joined"
             assert {(p.a, p.b): p.similarity for p in found.collect()} == want
+
+
+def test_merge_groups_work_out_the_sets_once(spark):
+    sets = _sets()
+    rows = [(k, sorted(s)) for k, s in sets.items()] + [(500 + k, sorted(sets[k])) for k in range(0, 90, 9)]
+    df = spark.createDataFrame(rows, "k long, terms array<string>")
+    found = similarity.merge_groups(df, "k", "terms", 0.7)
+    assert "sha2" not in found._jdf.queryExecution().optimizedPlan().toString(), "the sets are not hashed again for every use"
+    name, best = {k: k for k, _ in rows}, {k: 0.0 for k, _ in rows}
+    held = dict(rows)
+    close = [(a, b, len({*held[a]} & {*held[b]}) / len({*held[a]} | {*held[b]})) for a, b in combinations(held, 2)]
+    close = [x for x in close if x[2] >= 0.7]
+    for _ in name:
+        for a, b, _s in close:
+            name[a] = name[b] = min(name[a], name[b])
+    for a, _, s in close:
+        best[name[a]] = max(best[name[a]], s)
+    size = {g: sum(x == g for x in name.values()) for g in name.values()}
+    want = {(k, g, round(best[g], 3)) for k, g in name.items() if size[g] > 1}
+    assert {tuple(r) for r in found.collect()} == want
