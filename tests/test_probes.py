@@ -78,3 +78,16 @@ def test_probe_queries_list_no_matches_of_all_probes(spark, tmp_path):
     assert "Join" not in _moved(found)
     want = _best(texts, [(1000 + i, ["most", f"rare{i}"]) for i in range(120)], 10)
     assert {(r.query_id, r.chunk_id) for r in found.collect()} == {(q, i) for q, x in want.items() for _, i in x}
+
+
+def test_self_probe_finds_pages_without_moving_texts(spark, tmp_path):
+    texts = _texts(400)
+    _tables(spark, tmp_path, texts, [f"w1 most rare{i}" for i in range(120)])
+    found = QUERIES["q12_eval_self_probe"](spark, str(tmp_path))
+    grouped = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x]
+    assert grouped and not any("heading_path" in x for x in grouped), "texts are not grouped to find the page of a chunk"
+    want = {}
+    for q, x in _best(texts, [(1000 + i, ["most", f"rare{i}"]) for i in range(120)], 10).items():
+        first = [r for r, (_, i) in enumerate(x) if 1000 + i % 200 == q]
+        want[q] = (0.1, 1.0, 1 / (1 + first[0])) if first else (0.0, 0.0, 0.0)
+    assert {r.query_id: (r.precision, r.recall, r.reciprocal_rank) for r in found.collect()} == want
