@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import bisect
 import functools
+import itertools
 import math
 import random
 import re
@@ -34,7 +35,7 @@ _UP = r"[\p{Lu}]"
 
 #: A public vocabulary in which the frequent words of many languages are single tokens, in the order of their frequency.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-_WORD = re.compile(r"[^\W\d_]+(?:['’\-](?!s\b)[^\W\d_]+)*")
+_WORD = re.compile(r"([^\W\d_]+(?:['’\-](?!s\b)[^\W\d_]+)*)")
 _PARTICLES = {w: "P" for w in "van von de del di da bin al ten".split()} | {w: "D" for w in "der den la los".split()}
 #: Forms of names over the classes of words: T capitalised, C so and frequent, U in capitals, V so and frequent, r in small
 #: letters and in no vocabulary, k so and known but seldom, I and i initials, P and D particles, Q these in capitals; then a blank,
@@ -47,6 +48,8 @@ _NAMES = [
     ("low", re.compile(r"(?=((?:[rk]|i)(?: i)?(?: P(?: D)?)? [rk]))")),
     ("commalow", re.compile(r"(?=([rk],(?:[rk]|i)(?: i)?))")),
 ]
+#: The class of the seldom word that a name of each form holds.
+_SELDOM = {"cap": "T", "comma": "T", "caps": "U", "commacaps": "U", "low": "r", "commalow": "r"}
 #: Titles and roles, which are no part of a name.
 _TITLES = frozenset("dr prof mr mrs ms mx herr frau sr sra srta señor señora mister doctor miss sir madam don doña mme mlle".split())
 _HANGUL_NAME = regex.compile(r"(?<![\p{Hangul}])[\p{Hangul}]{2,4}(?= ?(?:씨|님|담당자|귀하|께서))|(?<=(?:받는 사람|담당자|성명|이름:?) )[\p{Hangul}]{2,4}(?![\p{Hangul}])", regex.V1)
@@ -91,26 +94,48 @@ def _class(word: str, dot: bool) -> str:
     return ("l" if seldom < 3 else "k" if seldom < 4 else "r") if word.islower() else "x"
 
 
+class _Classes(dict):
+    """The class of every word met, given the words that are no part of a name; ``?``: a single letter, an initial if a dot follows."""
+
+    def __init__(self, frequent: frozenset[str]):
+        self.frequent = frequent
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= 400_000:
+            self.clear()
+        kind = "?" if len(word) == 1 and _class(word, True) != "x" else _class(word, False)
+        kind = self[word] = "l" if kind in "rk" and word in self.frequent else kind
+        return kind
+
+
+@functools.lru_cache(4)
+def _classes(frequent: frozenset[str]) -> _Classes:
+    return _Classes(frequent)
+
+
 class Words:
     """The words of a text: where they start and end, and their classes with what stands between them in one string."""
 
     def __init__(self, text: str, frequent: frozenset[str] = frozenset()):
-        self.starts, self.ends, parts, at = [], [], [], 0
-        for m in _WORD.finditer(text):
-            a, b = m.span()
-            gap = text[at:a]
-            if self.starts:
-                dotted = parts[-1] in "Ii" and gap[:1] == "."
-                gap = gap[1:] if dotted else gap
-                parts.append(" " if gap == " " else "," if gap == ", " else "|")
-            word, dot = m[0], text[b : b + 1] == "." and not text[b + 1 : b + 2].isalpha()
-            kind = _class(word, dot)
-            parts.append("l" if kind in "rk" and word in frequent else kind)
-            self.starts.append(a)
-            self.ends.append(b + 1 if parts[-1] in "Ii" else b)
-            at = b
-        self.classes = "".join(parts)
-        self.text = text
+        parts = _WORD.split(text)  # what is between words at even places
+        at = list(itertools.accumulate(map(len, parts)))
+        self.starts, self.ends, self.text = at[:-1:2], at[1::2], text
+        kinds = [*map(_classes(frequent).__getitem__, parts[1::2])]
+        gaps = parts[2:-1:2]
+        if "?" in kinds:
+            for i, kind in enumerate(kinds):
+                if kind == "?":
+                    b = self.ends[i]
+                    dotted = text[b : b + 1] == "." and not text[b + 1 : b + 2].isalpha()
+                    kinds[i] = kind = _class(text[b - 1], dotted)
+                    if kind == "x":
+                        continue
+                    self.ends[i] = b + 1
+                    if i < len(gaps):
+                        gaps[i] = gaps[i][1:]
+        both = [""] * (2 * len(kinds) - 1)
+        both[::2], both[1::2] = kinds, [gap if gap == " " else "," if gap == ", " else "|" for gap in gaps]
+        self.classes = "".join(both)
 
     def word(self, i: int) -> str:
         return self.text[self.starts[i] : self.ends[i]]
@@ -146,8 +171,17 @@ _DIGITS = re.compile(r"\d+")
 _SERVICE = regex.compile(r"(?i)^(?:no-?reply|do-?not-?reply|git|root|admin|daemon|mailer-daemon|postmaster|notifications?|alerts?|bot|user|localhost|www|ci|build|svn|hg|ssh|deploy|service|system)$")
 #: The fewest digits of a telephone number.
 _PHONE_DIGITS = 7
-#: Without one of these no address for mail is spelled out.
-_AT = re.compile(r"(?i)[\s(\[{]at[\s)\]}]")
+#: What every match of a slow pattern holds; a text without it is not searched.  By the forms of ``_EMAIL`` and of ``_ADDRESS``.
+_MAIL_HOLDS = [re.compile("@"), re.compile(r"(?i)[(\[{]\s?at\s?[)\]}]"), re.compile(r"(?i)\sdot\s")]
+_PHONE_HOLDS = re.compile(r"\d(?:[ ./\-()]{0,4}\d){6}")
+_IDENTITY_HOLDS = re.compile(r"\d{7}|\d{3} \d{5}|\d\d[ \-]\d{4}")
+_ADDRESS_HOLDS = [
+    re.compile(rf" {_STREET}"),
+    re.compile(r"\d(?: bis| ter)?,? (?:[Rr]ue|[Aa]venue|[Bb]oulevard|[Pp]lace|[Cc]hemin|[Aa]llée|[Qq]uai)"),
+    re.compile(r"\d ?[a-z]?, \d{5} "),
+    re.compile(r" (?=\d)(?:" + "|".join(f"(?<={road} )" for road in "straße strasse weg platz gasse allee stieg ring damm ufer teich".split()) + ")"),
+    None,
+]
 #: A name stands neither behind nor before one of these.
 _GLUED = frozenset("@._-/#'’0123456789")
 _GLUES = frozenset("@_")
@@ -155,34 +189,37 @@ _HANGUL = re.compile(r"[\uac00-\ud7a3]")
 _DIGIT = re.compile(r"\d")
 
 
+_LETTER = regex.compile(r"\p{L}")
+
+
 def _shape(text: str) -> str:
-    return regex.sub(r"\p{L}", "x", regex.sub(r"\d+", lambda m: str(len(m[0])), text))
+    return _LETTER.sub("x", _DIGITS.sub(lambda m: str(len(m[0])), text))
 
 
 def _person_spans(words: Words) -> Iterator[Span]:
     """Two words of which one at least is not among the most frequent, with initials and particles, in any case and order."""
     text, classes = words.text, words.classes
     for form, pattern in _NAMES:
+        if _SELDOM[form] not in classes or form.startswith("comma") and "," not in classes:
+            continue
         for m in pattern.finditer(classes):
             i, j = m.start() // 2, (m.end(1) - 1) // 2
             found = m[1]
-            if form in ("low", "commalow"):
-                if "r" not in found:
-                    continue
-            elif "T" not in found and "U" not in found:
+            if _SELDOM[form] not in found:
                 continue
             a, b = words.starts[i], words.ends[j]
             if text[a - 1 : a] in _GLUED or text[b : b + 1] in _GLUES or text[b : b + 1].isdigit():
                 continue
             yield a, b, "person", form
-    if _HANGUL.search(text):
+    if not text.isascii() and _HANGUL.search(text):
         for m in _HANGUL_NAME.finditer(text):
             yield m.start(), m.end(), "person", "hangul"
 
 
 def _address_spans(text: str) -> Iterator[Span]:
-    for form, pattern, parts in _ADDRESS:
-        if form == "hangul" and not _HANGUL.search(text):
+    hangul = not text.isascii() and _HANGUL.search(text)
+    for (form, pattern, parts), holds in zip(_ADDRESS, _ADDRESS_HOLDS, strict=True):
+        if not (hangul if holds is None else holds.search(text)):
             continue
         for m in pattern.finditer(text):
             end = m.end()
@@ -218,12 +255,14 @@ def _phone_spans(text: str) -> Iterator[Span]:
 def candidates(text: str, words: Words | None = None) -> list[Span]:
     """Candidate segments ``(start, end, kind, form)`` of the whole text, of a few dozen tokens at most each."""
     found: list[Span] = []
-    if "@" in text or _AT.search(text):
-        for form, pattern in _EMAIL:
+    for (form, pattern), holds in zip(_EMAIL, _MAIL_HOLDS, strict=True):
+        if holds.search(text):
             found.extend((m.start(), m.end(), "email", form) for m in pattern.finditer(text))
     if _DIGIT.search(text):
-        found.extend(_phone_spans(text))
-        found.extend((m.start(), m.end(), "identity", _shape(m[0])) for m in _IDENTITY.finditer(text))
+        if _PHONE_HOLDS.search(text):
+            found.extend(_phone_spans(text))
+        if _IDENTITY_HOLDS.search(text):
+            found.extend((m.start(), m.end(), "identity", _shape(m[0])) for m in _IDENTITY.finditer(text))
         found.extend(_address_spans(text))
     found.extend(_person_spans(words or Words(text)))
     return list(dict.fromkeys(found))
@@ -305,7 +344,7 @@ def best_segments(text: str, weights: dict[str, float], frequent: frozenset[str]
     spans, before = _ordered(found)
     best, taken = [0.0], []
     for i, span in enumerate(spans):
-        score = sum(weights.get(f, 0.0) for f in features(text, span, words)) + best[before[i]]
+        score = sum(filter(None, map(weights.get, features(text, span, words)))) + best[before[i]]
         taken.append(score > best[-1])
         best.append(max(score, best[-1]))
     out, i = [], len(spans)
