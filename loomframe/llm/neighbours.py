@@ -237,8 +237,8 @@ def assign_blocks(vectors: DataFrame, cells: dict[tuple[str, int], Cells], id_co
                 other = cell.first[part[again]] + (_hash(ids[row[again]], 2) % share[again]).astype(np.int64)
                 lives = np.zeros(len(rows), np.int64)
                 lives[row[home]] = block[home]
-                pair = np.unique(np.stack([np.concatenate([row, row[again]]), np.concatenate([block, other])]), axis=1)
-                row, block = pair[0], pair[1].astype(np.int32)
+                row, block = _pairs(np.concatenate([row, row[again]]), np.concatenate([block, other]), 1 << 31)
+                block = block.astype(np.int32)
                 ends = np.searchsorted(row, np.arange(len(rows) + 1)).astype(np.int32)
                 visits = pa.ListArray.from_arrays(pa.array(ends), pa.array(block))
                 raw, pick = pa.array([v.tobytes() for v in x], pa.binary()), pa.array(row)
@@ -266,6 +266,11 @@ def _starts(owner: np.ndarray) -> np.ndarray:
     return np.arange(len(owner)) - np.searchsorted(owner, owner)
 
 
+def _pairs(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs of whole numbers, the second ones below ``n``, in order."""
+    return np.divmod(np.unique(a * n + b), n)
+
+
 def _distance(unit: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Negative cosines of pairs of rows, in double precision."""
     return np.concatenate([np.zeros(0), *(-np.round(np.einsum("ij,ij->i", unit[a[s : s + 65536]], unit[b[s : s + 65536]]), 13) for s in range(0, len(a), 65536))])
@@ -347,8 +352,8 @@ def _first_lists(k: int, leaf: int, trees: int):
                     top = np.argsort(-sims.round(6), axis=1, kind="stable")[:, : min(k, len(rows) - 1)]
                     a.append(np.repeat(rows, top.shape[1]))
                     b.append(rows[top.ravel()])
-        pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-        found = _Entries(pair[0], _distance(unit, pair[0], pair[1]), ids[pair[1]], homes[pair[1]], np.ones(pair.shape[1], np.int64)).best(k)
+        a, b = _pairs(np.concatenate(a), np.concatenate(b), len(ids))
+        found = _Entries(a, _distance(unit, a, b), ids[b], homes[b], np.ones(len(a), np.int64)).best(k)
         return _listed(at, homes, ids, found, np.arange(len(ids)))
 
     return start
@@ -406,12 +411,11 @@ def _introduced(k: int, rest: int):
 
     def groups(fwd: _Entries, place: np.ndarray, back: np.ndarray, member: np.ndarray, fresh: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows of members (a vector, its neighbours, a slice of those that point at it; -1: none), and whether each came with a fresh edge."""
-        key, first = np.unique(np.concatenate([fwd.owner * n + place, back * n + member]), return_index=True)
+        key, first, which = np.unique(np.concatenate([fwd.owner * n + place, back * n + member]), return_index=True, return_inverse=True)
         old = first < len(place)
         o, m = key // n, key % n
         new = np.zeros(len(key), bool)
-        np.logical_or.at(new, np.searchsorted(key, fwd.owner * n + place), fwd.fresh > 0)
-        np.logical_or.at(new, np.searchsorted(key, back * n + member), fresh > 0)
+        new[which[np.concatenate([fwd.fresh, fresh]) > 0]] = True
         heads = np.unique(o)
         slices = np.maximum(1, -(-np.bincount(o[~old], minlength=n) // rest))[heads]
         base = np.cumsum(slices) - slices
@@ -449,23 +453,31 @@ def _introduced(k: int, rest: int):
         far = np.full(n, -np.inf)
         np.maximum.at(far, known.owner, known.d)
         limit[full] = -far[full]
-        here = lambda e: e.take(np.flatnonzero(ids[np.minimum(where(e.v), n - 1)] == e.v))
-        fwd, pointed = here(known), here(pointed)
-        place = where(fwd.v)
+
+        def here(e: _Entries) -> tuple[_Entries, np.ndarray]:
+            place = where(e.v)
+            some = np.flatnonzero(ids[np.minimum(place, n - 1)] == e.v)
+            return e.take(some), place[some]
+
+        (fwd, place), (pointed, pointing) = here(known), here(pointed)
         local = homes[place] == at
         back = np.concatenate([place[local], pointed.owner])
-        member = np.concatenate([fwd.owner[local], where(pointed.v)])
+        member = np.concatenate([fwd.owner[local], pointing])
         fresh = np.concatenate([fwd.fresh[local], pointed.fresh])
         table, marks = groups(fwd, place, back, member, fresh, n)
-        keys = [np.zeros(0, np.int64)]
+        keys, width = [np.zeros(0, np.int64)], table.shape[1]
+        light = np.vstack([light, np.full((1, light.shape[1]), np.nan, np.float32)])  # an empty seat, -1, is the last row and reaches nothing
+        reach = np.append(limit - 1e-6, np.inf).astype(np.float32)
         for s in range(0, len(table), 1024):
             t, f = table[s : s + 1024], marks[s : s + 1024]
             x = light[t]
-            sims = x @ x.transpose(0, 2, 1)
-            sims[(t < 0)[:, None, :] | ~(f[:, :, None] | f[:, None, :])] = -np.inf
-            sims[t[:, :, None] == t[:, None, :]] = -np.inf
-            g, i, j = np.nonzero((sims >= (limit - 1e-6).astype(np.float32)[t][:, :, None]) & (sims > -np.inf) & (t >= 0)[:, :, None])
-            keys.append(np.unique(t[g, i] * n + t[g, j]))
+            met = (x @ x.transpose(0, 2, 1)) >= reach[t][:, :, None]
+            met &= f[:, :, None] | f[:, None, :]
+            met[:, np.arange(width), np.arange(width)] = False  # the members of a row differ
+            at_pair = np.flatnonzero(met)
+            first = at_pair // width
+            pair = t.ravel()[first] * n + t.ravel()[first // width * width + at_pair % width]
+            keys.append(pair if len(table) <= 1024 else np.unique(pair))
         key = np.setdiff1d(np.concatenate(keys), fwd.owner * n + place)
         a, b = key // n, key % n
         new = _Entries(a, _distance(unit, a, b), ids[b], homes[b], np.ones(len(a), np.int64))
