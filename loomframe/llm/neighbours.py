@@ -10,7 +10,8 @@ The rounds are Spark joins that move little: the vectors lie in a table
 bucketed by block (vectors near each other), the graph beside it, and only edges
 between blocks, the vectors at their ends and the finds for other blocks travel.
 A block is where things lie, not what is compared: inside of it only leaf mates
-of the start and introduced pairs meet.
+of the start and introduced pairs meet.  To Spark a row is what a block keeps or
+sends, packed: the numbers of many vectors as the bytes of one array a column.
 
 Vectors are compared by the cosine in double precision; ties go to the smaller
 id.  The blocks' centres are fitted on a bounded sample (``sample_rows`` over all
@@ -34,11 +35,27 @@ from loomframe.session import cut_lineage, scratch_database, write_bucketed
 _ENTRY = "struct<d:double,v:bigint,vb:int,fresh:int>"
 _ENTRY_ARROW = pa.struct([("d", pa.float64()), ("v", pa.int64()), ("vb", pa.int32()), ("fresh", pa.int32())])
 _PLACED = "blk int, vec_id bigint, home int, visits array<int>, vector binary"
-_LISTS = f"blk int, at int, u bigint, nb array<{_ENTRY}>"
-_MESSAGE = f"blk int, kind int, u bigint, ub int, worst double, vector binary, nb array<{_ENTRY}>"
-_MESSAGE_ARROW = pa.schema(
-    [("blk", pa.int32()), ("kind", pa.int32()), ("u", pa.int64()), ("ub", pa.int32()), ("worst", pa.float64()), ("vector", pa.binary()), ("nb", pa.list_(_ENTRY_ARROW))]
+#: Types of the numbers in packed columns; many: the entries of each vector ``u``.
+_TYPES = {"vec_id": np.int64, "home": np.int32, "visits": np.int32, "vector": np.float32, "u": np.int64, "ub": np.int32, "worst": np.float64}
+_TYPES |= {"many": np.int32, "d": np.float64, "v": np.int64, "vb": np.int32, "fresh": np.int8}
+_LISTED, _SENT = ("u", "many", "d", "v", "vb", "fresh"), ("u", "ub", "worst", "vector", "many", "d", "v", "vb", "fresh")
+_RESIDENTS = "blk int, vec_id binary, home binary, visits binary, vector binary"
+_LISTS = "blk int, at int, " + ", ".join(f"{c} binary" for c in _LISTED)
+_LISTS_ARROW = pa.schema([("blk", pa.int32()), ("at", pa.int32()), *((c, pa.binary()) for c in _LISTED)])
+_MESSAGE = "blk int, kind int, " + ", ".join(f"{c} binary" for c in _SENT)
+_MESSAGE_ARROW = pa.schema([("blk", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in _SENT)])
+#: A block's lists; with them the farthest neighbour of each vector, the edges to other blocks, who is at an end of a fresh edge, the numbers of fresh and of all entries.
+_OUT_ARROW = pa.struct([("u", pa.int64()), ("d", pa.float64()), ("v", pa.int64()), ("vb", pa.int32()), ("fresh", pa.int32())])
+_GRAPH = f"blk int, {', '.join(f'{c} binary' for c in (*_LISTED, 'worst'))}, out array<struct<u:bigint,d:double,v:bigint,vb:int,fresh:int>>, hosts array<bigint>, new bigint, entries bigint"
+_GRAPH_ARROW = pa.schema(
+    [("blk", pa.int32()), *((c, pa.binary()) for c in (*_LISTED, "worst")), ("out", pa.list_(_OUT_ARROW)), ("hosts", pa.list_(pa.int64())), ("new", pa.int64()), ("entries", pa.int64())]
 )
+#: Blocks that a vector can lie in: home, second cell, across the nearest cut, second share.
+_VISITS = 4
+#: Bytes of a packed row at the most, and of the vectors that a task packs at a time.
+_PACK, _PACKED_AT_ONCE = 1 << 18, 1 << 24
+#: Pairs that are marked in one array at the most, and that are compared in double precision at a time.
+_MARKED, _AT_ONCE = 1 << 25, 512
 #: Kinds of message to a block: a row of its graph, an edge from elsewhere to one of its vectors, a vector from elsewhere.
 _ROW, _POINTED, _SHIPPED = 0, 1, 2
 
@@ -221,11 +238,18 @@ def fit_cells(
     return _laid_out(formed, cells, block_rows, margin)
 
 
-def assign_blocks(vectors: DataFrame, cells: dict[tuple[str, int], Cells], id_col: str = "vec_id", margin: float = 0.05) -> DataFrame:
-    """``blk, vec_id, home, visits, vector`` (vector as float bytes): every usable vector in its home block and in those it visits."""
+def _placed(vectors: DataFrame, cells: dict[tuple[str, int], Cells], id_col: str = "vec_id", margin: float = 0.05, loose: bool = False) -> DataFrame:
+    """Every usable vector in its home block and in those it visits, packed by block (``loose``: a row each); ``visits`` has ``_VISITS`` places a vector, -1 where empty."""
     model = vectors.sparkSession.sparkContext.broadcast(cells)
 
+    def packed(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        block, *columns = (np.concatenate(c) for c in zip(*parts, strict=True))
+        key, cut = _pack(block, dict(zip(("vec_id", "home", "visits", "vector"), columns, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), *cut.values()], ["blk", *cut])
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        size = 0
         for batch in batches:
             all_ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
             for _, cell, rows, x in _each_signature(batch, model.value):
@@ -238,16 +262,31 @@ def assign_blocks(vectors: DataFrame, cells: dict[tuple[str, int], Cells], id_co
                 lives = np.zeros(len(rows), np.int64)
                 lives[row[home]] = block[home]
                 row, block = _pairs(np.concatenate([row, row[again]]), np.concatenate([block, other]), 1 << 31)
-                block = block.astype(np.int32)
-                ends = np.searchsorted(row, np.arange(len(rows) + 1)).astype(np.int32)
-                visits = pa.ListArray.from_arrays(pa.array(ends), pa.array(block))
-                raw, pick = pa.array([v.tobytes() for v in x], pa.binary()), pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(block), pa.array(ids[row], pa.int64()), pa.array(lives[row].astype(np.int32)), visits.take(pick), raw.take(pick)],
-                    ["blk", "vec_id", "home", "visits", "vector"],
-                )
+                visits = np.full((len(rows), _VISITS), -1, np.int32)
+                visits[row, _starts(row)] = block
+                held.setdefault(cell.dim, []).append((block, ids[row], lives[row], visits[row], x[row]))
+                size += 4 * cell.dim * len(row)
+            if size > _PACKED_AT_ONCE:
+                yield from map(packed, held.values())
+                held, size = {}, 0
+        yield from map(packed, held.values())
+
+    formed = _well_formed(vectors, id_col)
+    return formed.mapInArrow(lambda batches: map(_unpacked, place(batches)), _PLACED) if loose else formed.mapInArrow(place, _RESIDENTS)
+
+
+def _unpacked(packed: pa.Table | pa.RecordBatch) -> pa.Table | pa.RecordBatch:
+    """A row for every vector of packed rows, which are of one dim."""
+    ids, visits = _numbers(packed, "vec_id"), _numbers(packed, "visits").reshape(-1, _VISITS)
+    some, of = visits >= 0, np.repeat(np.arange(packed.num_rows), pc.binary_length(packed.column("vec_id")).to_numpy(zero_copy_only=False) // 8)
+    ends = np.append(0, np.cumsum(some.sum(axis=1))).astype(np.int32)
+    columns = [packed.column("blk").take(pa.array(of)), pa.array(ids), pa.array(_numbers(packed, "home")), pa.ListArray.from_arrays(pa.array(ends), pa.array(visits[some]))]
+    return type(packed).from_arrays([*columns, _cut(_vectors(packed), np.arange(len(ids) + 1))], ["blk", "vec_id", "home", "visits", "vector"])
+
 
-    return _well_formed(vectors, id_col).mapInArrow(place, _PLACED)
+def assign_blocks(vectors: DataFrame, cells: dict[tuple[str, int], Cells], id_col: str = "vec_id", margin: float = 0.05) -> DataFrame:
+    """``blk, vec_id, home, visits, vector`` (vector as float bytes): every usable vector in its home block and in those it visits."""
+    return _placed(vectors, cells, id_col, margin, loose=True)
 
 
 def _flat(column: pa.ChunkedArray) -> pa.Array:
@@ -261,9 +300,53 @@ def _floats(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(values.to_pylist()), np.float32).reshape(len(values), -1)
 
 
+def _vectors(residents: pa.Table) -> np.ndarray:
+    return _numbers(residents, "vector").reshape(len(_numbers(residents, "vec_id")), -1)
+
+
+def _cut(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The rows of an array between bounds, as bytes."""
+    values = np.ascontiguousarray(values)
+    width = values.itemsize * int(np.prod(values.shape[1:]))
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * width).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _numbers(table: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
+    """The numbers of all rows of a packed column."""
+    values = _flat(table.column(name))
+    at, kind = values.buffers()[1:], np.dtype(_TYPES[name])
+    if not len(values) or at[1] is None:
+        return np.zeros(0, kind)
+    ends = np.frombuffer(at[0], np.int64 if pa.types.is_large_binary(values.type) else np.int32)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(at[1], kind, int(ends[-1] - ends[0]) // kind.itemsize, int(ends[0]))
+
+
+def _pack(key: np.ndarray, columns: dict[str, np.ndarray], entries: _Entries | None = None) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """Rows of one key as packed rows of ``_PACK`` bytes at the most: the keys, and the packed columns.  ``entries``: of the rows, in their order."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    width = sum(_TYPES[n]().itemsize * int(np.prod(c.shape[1:])) for n, c in columns.items())
+    if entries is not None:
+        many = np.bincount(entries.owner, minlength=len(key))
+        width += 4 + 21 * int(many.max(initial=0))
+    starts = np.flatnonzero(_starts(key) % max(1, _PACK // max(1, width)) == 0)
+    bounds = np.append(starts, len(key))
+    cut = {n: _cut(c[order].astype(_TYPES[n], copy=False), bounds) for n, c in columns.items()}
+    if entries is not None:
+        first, many = (np.cumsum(many) - many)[order], many[order]
+        ends = np.append(0, np.cumsum(many))
+        pick = np.repeat(first - ends[:-1], many) + np.arange(ends[-1])
+        cut["many"] = _cut(many.astype(np.int32), bounds)
+        cut |= {n: _cut(getattr(entries, n)[pick].astype(_TYPES[n], copy=False), ends[bounds]) for n in ("d", "v", "vb", "fresh")}
+    return key[starts], cut
+
+
 def _starts(owner: np.ndarray) -> np.ndarray:
     """For each element of a sorted array its place within its run."""
-    return np.arange(len(owner)) - np.searchsorted(owner, owner)
+    at = np.arange(len(owner))
+    first = at.copy()
+    first[1:][owner[1:] == owner[:-1]] = 0
+    return at - np.maximum.accumulate(first)
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -271,9 +354,27 @@ def _pairs(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
     return np.divmod(np.unique(a * n + b), n)
 
 
+def _absent(keys: np.ndarray, known: np.ndarray, size: int) -> np.ndarray:
+    """The different ``keys``, whole numbers below ``size``, that are not among the ``known``, in order."""
+    if size > _MARKED:
+        return np.setdiff1d(keys, known)
+    marks = np.zeros(size, bool)
+    marks[keys] = True
+    marks[known] = False
+    return np.flatnonzero(marks)
+
+
+def _by_owner(owner: np.ndarray) -> np.ndarray:
+    """The stable order by owner; numbers of 16 bits are sorted by their digits."""
+    return np.argsort(owner.astype(np.uint16) if owner.max(initial=0) < 1 << 16 else owner, kind="stable")
+
+
 def _distance(unit: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Negative cosines of pairs of rows, in double precision."""
-    return np.concatenate([np.zeros(0), *(-np.round(np.einsum("ij,ij->i", unit[a[s : s + 65536]], unit[b[s : s + 65536]]), 13) for s in range(0, len(a), 65536))])
+    d = np.zeros(len(a))
+    for s in range(0, len(a), _AT_ONCE):  # few enough to stay in the cache
+        d[s : s + _AT_ONCE] = np.einsum("ij,ij->i", unit[a[s : s + _AT_ONCE]], unit[b[s : s + _AT_ONCE]])
+    return -np.round(d, 13)
 
 
 @dataclass
@@ -294,20 +395,34 @@ class _Entries:
 
     def best(self, k: int) -> _Entries:
         """The ``k`` nearest of each owner, nearest first, ties by id; one entry a neighbour, the known before the new."""
-        order = np.lexsort((self.fresh, self.v, self.d, self.owner))
+        order = np.argsort(self.d)
+        order = order[_by_owner(self.owner[order])]
+        owner, d = self.owner[order], self.d[order]
+        tied = np.zeros(len(order), bool)
+        tied[1:] = (owner[1:] == owner[:-1]) & (d[1:] == d[:-1])
+        tied[:-1] |= tied[1:]
+        at = np.flatnonzero(tied)
+        rows = order[at]
+        order[at] = rows[np.lexsort((self.fresh[rows], self.v[rows], self.d[rows], self.owner[rows]))]
         one = self.take(order)
         again = np.zeros(len(order), bool)
         again[1:] = (one.owner[1:] == one.owner[:-1]) & (one.v[1:] == one.v[:-1])
         one = one.take(np.flatnonzero(~again))
         return one.take(np.flatnonzero(_starts(one.owner) < k))
 
+    def improved(self, other: _Entries, k: int, owners: int) -> _Entries:
+        """The ``k`` nearest among these, which are the nearest so far, and others: only the lists of the others' owners are made anew."""
+        touched = np.zeros(owners, bool)
+        touched[other.owner] = True
+        again = touched[self.owner]
+        both = self.take(np.flatnonzero(~again)).plus(self.take(np.flatnonzero(again)).plus(other).best(k))
+        return both.take(_by_owner(both.owner))
+
     @classmethod
-    def of(cls, owner: np.ndarray, lists: pa.Array) -> _Entries:
-        """From list cells, ``owner`` naming each cell's vector."""
-        inner = lists.flatten()
-        sizes = np.diff(lists.offsets.to_numpy()) if not lists.null_count else pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-        field = lambda n, t: inner.field(n).to_numpy(zero_copy_only=False).astype(t, copy=False)
-        return cls(np.repeat(owner, sizes), field("d", np.float64), field("v", np.int64), field("vb", np.int64), field("fresh", np.int64))
+    def of(cls, owner: np.ndarray, packed: pa.Table) -> _Entries:
+        """From packed lists, ``owner`` naming each list's vector."""
+        d, v, vb, fresh = (_numbers(packed, n) for n in ("d", "v", "vb", "fresh"))
+        return cls(np.repeat(owner, _numbers(packed, "many")), d, v, vb.astype(np.int64), fresh.astype(np.int64))
 
     def cells(self, owners: int) -> pa.Array:
         """As list cells of the owners ``0 .. owners-1``; entries must be in the order of their owners."""
@@ -318,9 +433,13 @@ class _Entries:
 
 
 def _listed(at: int, homes: np.ndarray, ids: np.ndarray, entries: _Entries, rows: np.ndarray) -> pa.Table:
-    """The lists of the vectors ``rows`` for the homes of these."""
-    lists = entries.cells(len(ids)).take(pa.array(rows))
-    return pa.table({"blk": pa.array(homes[rows].astype(np.int32)), "at": pa.array(np.full(len(rows), at, np.int32)), "u": pa.array(ids[rows], pa.int64()), "nb": lists})
+    """The lists of the vectors ``rows`` for the homes of these; no other vector has entries."""
+    place = np.zeros(len(ids), np.int64)
+    place[rows] = np.arange(len(rows))
+    order = np.argsort(place[entries.owner], kind="stable")
+    entries = entries.take(order)
+    key, cut = _pack(homes[rows], {"u": ids[rows]}, replace(entries, owner=place[entries.owner]))
+    return pa.table({"blk": pa.array(key.astype(np.int32)), "at": pa.array(np.full(len(key), at, np.int32)), **cut}, schema=_LISTS_ARROW)
 
 
 def _leaves(unit: np.ndarray, leaf: int, r: np.random.Generator) -> Iterator[np.ndarray]:
@@ -339,9 +458,9 @@ def _first_lists(k: int, leaf: int, trees: int):
     """The start of a block: each vector's nearest mates in ``trees`` leaves of random projections."""
 
     def start(table: pa.Table) -> pa.Table:
-        ids, keep = np.unique(table.column("vec_id").to_numpy(), return_index=True)
-        at, homes = table.column("blk")[0].as_py(), table.column("home").to_numpy()[keep].astype(np.int64)
-        unit = _unit(_floats(table.column("vector").take(pa.array(keep))))
+        ids, keep = np.unique(_numbers(table, "vec_id"), return_index=True)
+        at, homes = table.column("blk")[0].as_py(), _numbers(table, "home")[keep].astype(np.int64)
+        unit = _unit(_vectors(table)[keep])
         light, r = unit.astype(np.float32), np.random.default_rng(at)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for _ in range(trees):
@@ -352,7 +471,7 @@ def _first_lists(k: int, leaf: int, trees: int):
                     top = np.argsort(-sims.round(6), axis=1, kind="stable")[:, : min(k, len(rows) - 1)]
                     a.append(np.repeat(rows, top.shape[1]))
                     b.append(rows[top.ravel()])
-        a, b = _pairs(np.concatenate(a), np.concatenate(b), len(ids))
+        a, b = np.divmod(_absent(np.concatenate(a) * len(ids) + np.concatenate(b), np.zeros(0, np.int64), len(ids) ** 2), len(ids))
         found = _Entries(a, _distance(unit, a, b), ids[b], homes[b], np.ones(len(a), np.int64)).best(k)
         return _listed(at, homes, ids, found, np.arange(len(ids)))
 
@@ -363,13 +482,27 @@ def _merged(k: int):
     """A block's own lists and what other blocks found for its vectors, as one list each."""
 
     def merge(own: pa.Table, offers: pa.Table) -> pa.Table:
-        ids = own.column("u").to_numpy()
-        if not len(offers) or not len(ids):
-            return own.select(["blk", "u", "nb"])
-        order = np.argsort(ids)
-        to = order[np.searchsorted(ids, offers.column("u").to_numpy(), sorter=order)]
-        both = _Entries.of(np.arange(len(ids)), _flat(own.column("nb"))).plus(_Entries.of(to, _flat(offers.column("nb")))).best(k)
-        return pa.table({"blk": own.column("blk"), "u": own.column("u"), "nb": both.cells(len(ids))})
+        if not len(own):
+            return _GRAPH_ARROW.empty_table()
+        blk, ids = own.column("blk")[0].as_py(), _numbers(own, "u")
+        both = _Entries.of(np.arange(len(ids)), own)
+        if len(offers):
+            order = np.argsort(ids)
+            to = order[np.searchsorted(ids, _numbers(offers, "u"), sorter=order)]
+            both = both.improved(_Entries.of(to, offers), k, len(ids))
+        many = np.bincount(both.owner, minlength=len(ids))
+        worst, full = np.ones(len(ids)), np.flatnonzero(many >= k)
+        worst[full] = both.d[np.cumsum(many)[full] - 1]
+        key, cut = _pack(np.full(len(ids), blk), {"u": ids, "worst": worst}, both)
+        out, fresh = both.take(np.flatnonzero(both.vb != blk)), np.flatnonzero(both.fresh)
+        edges = [pa.array(ids[out.owner]), pa.array(out.d), pa.array(out.v), pa.array(out.vb.astype(np.int32)), pa.array(out.fresh.astype(np.int32))]
+        hosts = np.unique(np.concatenate([ids[both.owner[fresh]], both.v[fresh]]))
+        ends = lambda n: pa.array([0] + [n] * len(key), pa.int32())  # noqa: E731  (all of the block in its first row)
+        cut["out"] = pa.ListArray.from_arrays(ends(len(out.d)), pa.StructArray.from_arrays(edges, fields=list(_OUT_ARROW)))
+        cut["hosts"] = pa.ListArray.from_arrays(ends(len(hosts)), pa.array(hosts))
+        for name, n in (("new", len(fresh)), ("entries", len(both.d))):
+            cut[name] = pa.array([n] + [0] * (len(key) - 1), pa.int64())
+        return pa.table({"blk": pa.array(key.astype(np.int32)), **cut}).select(_GRAPH_ARROW.names)
 
     return merge
 
@@ -383,27 +516,27 @@ def _picked(asked: pa.Table, residents: pa.Table) -> pa.Table:
         return _MESSAGE_ARROW.empty_table()
     at, given = residents.column("blk")[0].as_py(), asked.column("to").is_valid()
     wanted, lists = asked.filter(given), asked.filter(pc.invert(given))
-    ids, keep = np.unique(residents.column("vec_id").to_numpy(), return_index=True)
+    ids, keep = np.unique(_numbers(residents, "vec_id"), return_index=True)
     worst = np.ones(len(ids))
-    worst[np.searchsorted(ids, lists.column("x").to_numpy())] = lists.column("worst").to_numpy()
-    row, to = np.searchsorted(ids, wanted.column("x").to_numpy()), wanted.column("to").to_numpy().astype(np.int64)
-    visits = _flat(residents.column("visits").take(pa.array(keep)))
-    there = np.repeat(np.arange(len(ids)), np.diff(visits.offsets.to_numpy())) * (1 << 31) + visits.flatten().to_numpy().astype(np.int64)
-    key = np.setdiff1d(row * (1 << 31) + to, there)
-    row, to = key >> 31, key & ((1 << 31) - 1)
-    n = len(key)
-    sent = [
-        pa.array(to.astype(np.int32)), pa.array(np.full(n, _SHIPPED, np.int32)), pa.array(ids[row], pa.int64()), pa.array(np.full(n, at, np.int32)),
-        pa.array(worst[row]), _flat(residents.column("vector").take(pa.array(keep[row]))), pa.nulls(n, pa.list_(_ENTRY_ARROW)),
-    ]
+    worst[np.searchsorted(ids, _numbers(lists, "u"))] = _numbers(lists, "worst")
+    x, to = wanted.column("x").to_numpy(), wanted.column("to").to_numpy().astype(np.int64)
+    row, to = _pairs(np.searchsorted(ids, x), to, 1 << 31)
+    away = np.flatnonzero((_numbers(residents, "visits").reshape(-1, _VISITS)[keep[row]] != to[:, None]).all(axis=1))
+    row, to = row[away], to[away]
+    key, sent = _pack(to, {"u": ids[row], "ub": np.full(len(row), at), "worst": worst[row], "vector": _vectors(residents)[keep[row]]})
     edges = wanted.filter(wanted.column("v").is_valid())
-    m = len(edges)
-    entry = pa.StructArray.from_arrays([_flat(edges.column(c)) for c in ("d", "x", "xb", "fresh")], fields=list(_ENTRY_ARROW))
-    told = [
-        _flat(edges.column("to")), pa.array(np.full(m, _POINTED, np.int32)), _flat(edges.column("v")), pa.nulls(m, pa.int32()), pa.nulls(m, pa.float64()),
-        pa.nulls(m, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32)), entry),
-    ]
-    return pa.concat_tables([pa.table(sent, schema=_MESSAGE_ARROW), pa.table(told, schema=_MESSAGE_ARROW)])
+    d, x, fresh, v, to = (edges.column(c).to_numpy() for c in ("d", "x", "fresh", "v", "to"))
+    n = len(edges)
+    there, told = _pack(to, {"u": v}, _Entries(np.arange(n), d, x, np.full(n, at), fresh))
+    return pa.concat_tables([_message(_SHIPPED, key, sent), _message(_POINTED, there, told)])
+
+
+def _message(kind: int, blk: np.ndarray, packed: dict[str, pa.Array]) -> pa.Table:
+    n = len(blk)
+    return pa.table(
+        {"blk": pa.array(blk.astype(np.int32)), "kind": pa.array(np.full(n, kind, np.int32))} | {c: packed[c] if c in packed else pa.nulls(n, pa.binary()) for c in _SENT},
+        schema=_MESSAGE_ARROW,
+    )
 
 
 def _introduced(k: int, rest: int):
@@ -435,20 +568,18 @@ def _introduced(k: int, rest: int):
 
     def join(residents: pa.Table, messages: pa.Table) -> pa.Table:
         if not len(residents) or not len(messages):
-            return pa.schema([("blk", pa.int32()), ("at", pa.int32()), ("u", pa.int64()), ("nb", pa.list_(_ENTRY_ARROW))]).empty_table()
+            return _LISTS_ARROW.empty_table()
         at = residents.column("blk")[0].as_py()
         kind = messages.column("kind").to_numpy()
         of = {n: messages.take(pa.array(np.flatnonzero(kind == n))) for n in (_ROW, _POINTED, _SHIPPED)}
-        ids, keep = np.unique(np.concatenate([residents.column("vec_id").to_numpy(), of[_SHIPPED].column("u").to_numpy()]), return_index=True)
-        homes = np.concatenate([residents.column("home").to_numpy(), of[_SHIPPED].column("ub").to_numpy()]).astype(np.int64)[keep]
-        vectors = pa.concat_arrays([_flat(residents.column("vector")), _flat(of[_SHIPPED].column("vector"))]).take(pa.array(keep))
-        unit, n = _unit(_floats(vectors)), len(ids)
+        x, own = _vectors(residents), _numbers(of[_ROW], "u")
+        ids, keep = np.unique(np.concatenate([_numbers(residents, "vec_id"), _numbers(of[_SHIPPED], "u")]), return_index=True)
+        homes = np.concatenate([_numbers(residents, "home"), _numbers(of[_SHIPPED], "ub")]).astype(np.int64)[keep]
+        unit, n = _unit(np.concatenate([x, _numbers(of[_SHIPPED], "vector").reshape(-1, x.shape[1])])[keep]), len(ids)
         light, where = unit.astype(np.float32), lambda v: np.searchsorted(ids, v)
-        known = _Entries.of(where(of[_ROW].column("u").to_numpy()), _flat(of[_ROW].column("nb")))
-        pointed = _Entries.of(where(of[_POINTED].column("u").to_numpy()), _flat(of[_POINTED].column("nb")))
+        known, pointed = _Entries.of(where(own), of[_ROW]), _Entries.of(where(_numbers(of[_POINTED], "u")), of[_POINTED])
         limit = np.full(n, -np.inf)  # the cosine that a newcomer must reach
-        told = of[_SHIPPED].column("worst").to_numpy()
-        limit[where(of[_SHIPPED].column("u").to_numpy())] = -told
+        limit[where(_numbers(of[_SHIPPED], "u"))] = -_numbers(of[_SHIPPED], "worst")
         full = np.flatnonzero(np.bincount(known.owner, minlength=n) >= k)
         far = np.full(n, -np.inf)
         np.maximum.at(far, known.owner, known.d)
@@ -468,8 +599,8 @@ def _introduced(k: int, rest: int):
         keys, width = [np.zeros(0, np.int64)], table.shape[1]
         light = np.vstack([light, np.full((1, light.shape[1]), np.nan, np.float32)])  # an empty seat, -1, is the last row and reaches nothing
         reach = np.append(limit - 1e-6, np.inf).astype(np.float32)
-        for s in range(0, len(table), 1024):
-            t, f = table[s : s + 1024], marks[s : s + 1024]
+        for s in range(0, len(table), 64):  # few enough to stay in the cache
+            t, f = table[s : s + 64], marks[s : s + 64]
             x = light[t]
             met = (x @ x.transpose(0, 2, 1)) >= reach[t][:, :, None]
             met &= f[:, :, None] | f[:, None, :]
@@ -477,41 +608,43 @@ def _introduced(k: int, rest: int):
             at_pair = np.flatnonzero(met)
             first = at_pair // width
             pair = t.ravel()[first] * n + t.ravel()[first // width * width + at_pair % width]
-            keys.append(pair if len(table) <= 1024 else np.unique(pair))
-        key = np.setdiff1d(np.concatenate(keys), fwd.owner * n + place)
-        a, b = key // n, key % n
+            keys.append(pair)
+            if s % 1024 == 960:  # where many pairs repeat, their numbers stay few
+                keys[-16:] = [np.unique(np.concatenate(keys[-16:]))]
+        a, b = np.divmod(_absent(np.concatenate(keys), fwd.owner * n + place, n * n), n)
         new = _Entries(a, _distance(unit, a, b), ids[b], homes[b], np.ones(len(a), np.int64))
         known.fresh[:] = 0
-        lists = known.plus(new).best(k)
-        own = np.sort(where(of[_ROW].column("u").to_numpy()))
+        lists = known.improved(new, k, n)
+        own = np.sort(where(own))
         guests = np.setdiff1d(np.unique(lists.owner), own)
         return _listed(at, homes, ids, lists, np.concatenate([own, guests]))
 
     return join
 
 
+def _lists(packed: pa.Table) -> pa.Table:
+    """``u, nb``: a row for every list of packed rows."""
+    ids = _numbers(packed, "u")
+    return pa.table({"u": pa.array(ids), "nb": _Entries.of(np.arange(len(ids)), packed).cells(len(ids))})
+
+
 def _round(graph: DataFrame, residents: DataFrame, k: int, rest: int, buckets: int, first: bool) -> DataFrame:
-    """``blk, at, u, nb``: the lists after one round of introductions, still apart by the block ``at`` that found them.
+    """``blk, at`` and packed lists: those after one round of introductions, still apart by the block ``at`` that found them.
 
     A vector with a fresh edge from or to it has somebody to introduce.  Only what
     these need from other blocks travels: the vectors at the far ends of their edges.
     The union with rows bucketed alike keeps their buckets, so the graph stays where it is.
     """
-    edge = graph.select("blk", "u", F.explode("nb").alias("e"))
-    across = edge.filter(F.col("e.vb") != F.col("blk"))
+    across = graph.select("blk", F.explode("out").alias("e"))
     nobody = [F.lit(None).cast("bigint").alias("v"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("int").alias("fresh")]
-    wanted = across.select(F.col("e.vb").alias("xb"), F.col("blk").alias("to"), F.col("e.v").alias("x"), F.col("u").alias("host"), *nobody).unionByName(
-        across.select(F.col("blk").alias("xb"), F.col("e.vb").alias("to"), F.col("u").alias("x"), F.col("e.v").alias("host"), "e.v", "e.d", "e.fresh")
+    wanted = across.select(F.col("e.vb").alias("xb"), F.col("blk").alias("to"), F.col("e.v").alias("x"), F.col("e.u").alias("host"), *nobody).unionByName(
+        across.select(F.col("blk").alias("xb"), F.col("e.vb").alias("to"), F.col("e.u").alias("x"), F.col("e.v").alias("host"), "e.v", "e.d", "e.fresh")
     )
     if not first:  # at first every edge is fresh
-        hosts = edge.filter(F.col("e.fresh") == 1).select(F.explode(F.array("u", "e.v")).alias("host")).distinct()
-        wanted = wanted.join(hosts, "host", "left_semi")
-    worst = F.when(F.size("nb") >= k, F.element_at("nb", -1)["d"]).otherwise(F.lit(1.0))
-    asked = wanted.drop("host").repartition(buckets, "xb").unionByName(
-        graph.select(F.col("blk").alias("xb"), F.col("u").alias("x"), worst.alias("worst")), allowMissingColumns=True
-    )
+        wanted = wanted.join(graph.select(F.explode("hosts").alias("host")).distinct(), "host", "left_semi")
+    asked = wanted.drop("host").repartition(buckets, "xb").unionByName(graph.select(F.col("blk").alias("xb"), "u", "worst"), allowMissingColumns=True)
     messages = asked.groupBy("xb").cogroup(residents.groupBy("blk")).applyInArrow(_picked, _MESSAGE)
-    rows = graph.select("blk", F.lit(_ROW).alias("kind"), "u", "nb")
+    rows = graph.select("blk", F.lit(_ROW).alias("kind"), *_LISTED)
     messages = messages.repartition(buckets, "blk").unionByName(rows, allowMissingColumns=True)
     return residents.groupBy("blk").cogroup(messages.groupBy("blk")).applyInArrow(_introduced(k, rest), _LISTS)
 
@@ -563,13 +696,13 @@ def neighbour_graph(
     cells = fit_cells(formed, **fit) if cells is None else cells
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with scratch_database(spark, database) as scratch:
-        residents, _ = write_bucketed(assign_blocks(formed, cells).repartition(buckets, "blk"), scratch, "blk", buckets)
+        residents, packed_name = write_bucketed(_placed(formed, cells).repartition(buckets, "blk"), scratch, "blk", buckets)
 
         def kept(lists: DataFrame) -> tuple[DataFrame, str]:
             """Lists of several blocks as the graph, bucketed like the vectors."""
             raw, raw_name = write_bucketed(lists, scratch, "at", buckets)
             own, offers = raw.filter(F.col("at") == F.col("blk")), raw.filter(F.col("at") != F.col("blk"))
-            merged = own.groupBy("at").cogroup(offers.groupBy("blk")).applyInArrow(_merged(k), f"blk int, u bigint, nb array<{_ENTRY}>")
+            merged = own.groupBy("at").cogroup(offers.groupBy("blk")).applyInArrow(_merged(k), _GRAPH)
             graph, name = write_bucketed(merged, scratch, "blk", buckets)
             spark.sql(f"DROP TABLE {raw_name}")
             return graph, name
@@ -579,12 +712,15 @@ def neighbour_graph(
             better, later = kept(_round(graph, residents, k, rest, buckets, number == 0))
             spark.sql(f"DROP TABLE {name}")
             graph, name = better, later
-            n = graph.agg(F.sum(F.aggregate("nb", F.lit(0), lambda s, e: s + e["fresh"])).alias("new"), F.sum(F.size("nb")).alias("all")).first()
+            n = graph.agg(F.sum("new").alias("new"), F.sum("entries").alias("all")).first()
             if (n["new"] or 0) <= delta * (n["all"] or 0):
                 break
-        found = graph.select("u", "nb")
+        found = cut_lineage(graph.select("blk", *_LISTED).groupBy("blk").applyInArrow(_lists, f"u bigint, nb array<{_ENTRY}>"))
         if database is None:
-            found, residents = cut_lineage(found), assign_blocks(formed, cells)
+            residents = assign_blocks(formed, cells)
+        else:
+            residents, _ = write_bucketed(residents.groupBy("blk").applyInArrow(_unpacked, _PLACED), scratch, "blk", buckets)
+            spark.sql(f"DROP TABLE {packed_name}")
     return found if others is None else found.unionByName(others), residents
 
 

@@ -59,7 +59,10 @@ def scratch_database(spark: SparkSession, name: str | None = None) -> Iterator[s
 
 
 def write_bucketed(df: DataFrame, database: str, key: str, buckets: int) -> tuple[DataFrame, str]:
-    """``df`` as a written table bucketed by ``key``, and its name: later joins on the key need no shuffle of it."""
+    """``df`` as a written table bucketed by ``key``, and its name: later joins on the key need no shuffle of it.
+
+    Row groups are small, since Spark reads up to 4,096 rows of one at a time and rows here may be large.
+    """
     spark, name = df.sparkSession, f"{database}.t{uuid.uuid4().hex[:12]}"
-    df.write.bucketBy(buckets, key).format("parquet").saveAsTable(name)
+    df.write.bucketBy(buckets, key).format("parquet").option("parquet.block.size", 1 << 24).saveAsTable(name)
     return spark.table(name), name
